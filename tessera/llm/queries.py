@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exactdup, langid, sharding, urls
+from . import chat, decontam, exactdup, langid, neardup, sharding, urls
 from .common import crc_mod
 
 
@@ -28,6 +28,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_chat_format, op4_url_filter, op6_exact_dedup, op8_bounded_load_sharding, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_chat_format, op4_url_filter, op5_minmax_neardup, op6_exact_dedup, op8_bounded_load_sharding, op9_language_id)}
 
 # Words as the operators take them: lower-cased A-Z, split at \x20 and \x09 to \x0D.
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), lambda w: w <> '')"
@@ -78,6 +82,16 @@ g AS (
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(loss_text) AS loss_chars, sha256(loss_text) AS loss_sha256,
   formatted_chars::BIGINT AS formatted_chars, n_blocks::BIGINT AS n_blocks, true AS mask_fits FROM g""",
+    "op5_minmax_neardup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+sets AS (SELECT doc_id, {_SHINGLES} AS ss FROM d),
+n AS (SELECT doc_id, len(ss) AS n_shingles FROM sets),
+s AS (SELECT doc_id, unnest(ss) AS s FROM sets),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n_shingles + q.n_shingles - k)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT n.doc_id, n.n_shingles, min(reach.y) AS component_id, n.doc_id = min(reach.y) AS kept
+FROM n JOIN reach ON reach.x = n.doc_id GROUP BY n.doc_id, n.n_shingles""",
     "op6_exact_dedup": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
