@@ -182,3 +182,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", sharpness: fl
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names=[*names, *out])
 
     return docs.withColumn(mark, letters).mapInArrow(run, schema)
+
+
+def identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", capacity: int = CAPACITY) -> DataFrame:
+    """The rows of docs whose text gets a language, with all their columns; the model learns from the rows that name one."""
+    train = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    model = fit(train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), capacity)
+    out = tuple(unused(x, docs.columns) for x in ("lang_pred", "score", "bits"))
+    return predict(docs, model, text_col, out=out).filter(F.col(out[0]) != "und").drop(*out)

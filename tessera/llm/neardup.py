@@ -204,3 +204,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     rest = rows.join(hot.select("print"), "print", "left_anti").join(known.filter(F.col("size") <= limit).hint("merge"), "print", "left")
     end = F.coalesce("to", "doc_id")
     return some.unionByName(rest).select("doc_id", "n_shingles", end.alias("component_id"), F.col("doc_id").eqNullSafe(end).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose id is the smallest of its near-duplicate group, with all their columns."""
+    gone = stored(near_duplicates(docs, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone.hint("merge")
+    return docs.join(gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exactdup, langid, neardup, quality, sharding, urls, warc
+from . import chat, decontam, exactdup, langid, neardup, quality, sharding, spiece, urls, warc
 from .common import crc_mod
 
 
@@ -44,6 +44,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spiece.segmentations(table(spark, sf_dir, "documents"), k=2, alpha=1.0, seed=7, digests=True)
+
+
 def op8_bounded_load_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -61,7 +65,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_decontamination, op3_chat_format, op4_url_filter, op5_minmax_neardup, op6_exact_dedup, op8_bounded_load_sharding, op9_language_id, op10_warc_index)}
+QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_decontamination, op3_chat_format, op4_url_filter, op5_minmax_neardup, op6_exact_dedup, op7_sentencepiece_sampling, op8_bounded_load_sharding, op9_language_id, op10_warc_index)}
 
 # Words as the operators take them: lower-cased A-Z, split at \x20 and \x09 to \x0D.
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), lambda w: w <> '')"
