@@ -1 +1,7 @@
+"""Queries by name, with the SQL an independent engine answers them by."""
 
+from . import chunks, evaluation, retrieval
+
+_MODULES = (retrieval, evaluation, chunks)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
