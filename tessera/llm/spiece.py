@@ -283,9 +283,8 @@ class Sampler:
             size = np.array([len(p["edges"]) for _, p in parts])
             every = np.concatenate([p["edges"] for _, p in parts])
             logp = L.logp[every]
-            total = np.cumsum(logp)
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
-            prefix = total - logp - np.repeat(total[start] - logp[start], size)
+            prefix = np.concatenate([np.cumsum(logp[x : x + n]) for x, n in zip(start, size)]) - logp  # a path's own sum, whatever its batch
             single = L.first[L.at[every] + 1] - L.first[L.at[every]] == 1
             with np.errstate(divide="ignore"):
                 rest = np.where(single, -np.inf, np.log(np.maximum(-np.expm1(logp), 1e-16)))
