@@ -19,10 +19,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def read_jsonl_errors(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The lines that do not parse, as (path, line_text)."""
+    """The lines that do not parse, as (path, line_text); blank lines are none."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.select(F.input_file_name().alias("path"), F.col("_corrupt").alias("line_text")).filter("line_text IS NOT NULL")
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line_text"), parsed["_corrupt"].alias("bad"))
+    return rows.filter("bad IS NOT NULL AND trim(line_text) <> ''").drop("bad")
 
 
 def newest_filings(files: DataFrame, path: str = "path") -> DataFrame:
