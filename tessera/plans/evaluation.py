@@ -110,8 +110,8 @@ RUN = "ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s
 
 def _at(k: int) -> str:
     return (
-        f"round(count_if(rank <= {k}) / count(*), 6) AS recall_at_{k}, (count_if(rank <= {k}) > 0)::INT AS hit_at_{k}, "
-        f"(count_if(rank <= {k}) = count(*))::INT AS complete_at_{k}, round(coalesce(1 / min(rank) FILTER (rank <= {k}), 0), 6) AS mrr_at_{k}"
+        f"round(count(*) FILTER (rank <= {k}) / count(*), 6) AS recall_at_{k}, (count(*) FILTER (rank <= {k}) > 0)::INT AS hit_at_{k}, "
+        f"(count(*) FILTER (rank <= {k}) = count(*))::INT AS complete_at_{k}, round(coalesce(1 / min(rank) FILTER (rank <= {k}), 0), 6) AS mrr_at_{k}"
     )
 
 
