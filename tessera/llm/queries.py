@@ -33,7 +33,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(table(spark, sf_dir, "pages"))
+    return urls.judge_urls(table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 9))
 
 
 def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,34 @@ QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_decontamination, op3_cha
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), lambda w: w <> '')"
 _SHINGLES = "CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END"
 
+
+
+def _url_sql() -> str:
+    """The rules, the Witten-Bell models order by order, and the threshold between the held-out class means."""
+    level = lambda k: f"""
+c{k} AS (SELECT substr(gram, {5 - k}) AS g, substr(gram, {5 - k}, {k - 1}) AS ctx, sum(a) AS a, sum(r) AS r FROM counts GROUP BY ALL),
+x{k} AS (SELECT ctx, sum(a) AS na, count(*) FILTER (a > 0) AS ta, sum(r) AS nr, count(*) FILTER (r > 0) AS tr FROM c{k} GROUP BY ctx),
+q{k} AS (SELECT c{k}.g, CASE WHEN na = 0 THEN la ELSE (a + ta * la) / (na + ta) END AS qa, CASE WHEN nr = 0 THEN lr ELSE (r + tr * lr) / (nr + tr) END AS qr
+  FROM c{k} JOIN x{k} USING (ctx) JOIN ({f"SELECT g AS low, qa AS la, qr AS lr FROM q{k - 1}" if k > 1 else "SELECT '' AS low, 1 / 45 AS la, 1 / 45 AS lr"}) ON low = {"substr(c%d.g, 2)" % k if k > 1 else "''"})"""  # noqa: E731, UP031
+    rule = "CASE" + "".join(
+        f" WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p in (("example.net", "/de/8"), ("example.com", "/en/7"), ("com", "/en/"), ("net", "/de/"), ("org", "/es/"))
+    ) + " END"
+    return f"""WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+raw AS (SELECT page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS h FROM rest),
+parts AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^([^?#]*)', 1) AS path FROM raw),
+ruled AS (SELECT *, {rule} AS rule FROM parts),
+said AS (SELECT *, row_number() OVER () AS row, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
+  ('0x' || substr(md5(host || path), 1, 8))::BIGINT % 5 = 0 AS held, '^^^' || regexp_replace(host || path, '[^a-z0-9.\\-/_%~]', '*', 'g') || '$' AS t FROM ruled),
+grams AS (SELECT row, said, held, unnest(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))) AS gram FROM said),
+counts AS (SELECT gram, count(*) FILTER (said = 'allow' AND NOT held) AS a, count(*) FILTER (said = 'block' AND NOT held) AS r FROM grams GROUP BY gram),{level(1)},{level(2)},{level(3)},{level(4)},
+scores AS (SELECT row, avg(ln(qa) - ln(qr)) AS score FROM grams JOIN q4 ON g = gram GROUP BY row),
+tune AS (SELECT said, avg(score) AS m, stddev_pop(score) AS s FROM said JOIN scores USING (row) WHERE held AND said IS NOT NULL GROUP BY said),
+cut AS (SELECT CASE WHEN count(*) < 2 THEN -1e300 WHEN sum(s) > 0 THEN (max(m) FILTER (said = 'allow') * max(s) FILTER (said = 'block') + max(m) FILTER (said = 'block') * max(s) FILTER (said = 'allow')) / sum(s) ELSE avg(m) END AS cut FROM tune)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, round(score, 9) AS score FROM said JOIN scores USING (row), cut"""
+
+
 ORACLE_SQL = {
+    "op4_url_filter": _url_sql(),
     "op2_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 ds AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM d),

@@ -83,7 +83,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("said", said)
-    fold = F.crc32(F.concat("host", "path").cast("binary")) % held_out == 0
+    fold = F.conv(F.substring(F.md5(F.concat("host", "path").cast("binary")), 1, 8), 16, 10).cast("long") % held_out == 0
     rows = rows.withColumn("use", F.when(F.col("said").isNull(), "none").when(fold, "tune").when(F.col("said") == "allow", "a").otherwise("r"))
     counted = stored(grams(rows, ["use"]).groupBy("gram").agg(F.count_if(F.col("use") == "a").alias("a"), F.count_if(F.col("use") == "r").alias("r")), "grams")
     model = stored(gram_model(counted), "gram-model")
