@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import iso_date
 from tessera.operators.logical import violations
 
 
@@ -58,3 +59,21 @@ def filing_report(blocks: DataFrame, doc: str = "doc") -> DataFrame:
         F.count("table_kind").alias("table_blocks"), F.count_distinct("logical_table_id").alias("logical_tables"), F.count("continued_from_block_id").alias("continuations"),
         F.count_if((F.col("table_kind") == "financial_data") & F.col("title").isNull()).alias("untitled_financial"),
     )
+
+
+def metadata_violations(filings: DataFrame, companies: DataFrame, facts: DataFrame) -> DataFrame:
+    """(doc, rule): a filing's ticker, CIK, form and period must agree with the company table and its own cover facts.
+
+    `filings` has doc, ticker, cik, form, filing_year; `companies` ticker and cik; `facts` (doc, fact, value).
+    """
+    wanted = {"tradingsymbol": "f_ticker", "entitycentralindexkey": "f_cik", "documenttype": "f_form", "documentperiodenddate": "f_period"}
+    cover = facts.filter(F.col("fact").isin(list(wanted))).groupBy("doc").agg(*[F.max(F.when(F.col("fact") == k, F.col("value"))).alias(v) for k, v in wanted.items()])
+    known = companies.select("ticker", F.col("cik").alias("c_cik"))
+    rows = filings.join(known, "ticker", "left").join(cover, "doc", "left")
+    agrees = lambda a, b: F.col(a).isNull() | (F.upper(a) == F.upper(b))
+    year = F.year(F.try_to_timestamp(iso_date(F.col("f_period"))))
+    rules = {
+        "unknown_company": F.col("c_cik").isNotNull(), "cik": F.ltrim("cik", F.lit("0")) == F.ltrim("c_cik", F.lit("0")), "cover_cik": F.col("f_cik").isNull() | (F.ltrim("f_cik", F.lit("0")) == F.ltrim("cik", F.lit("0"))),
+        "cover_ticker": agrees("f_ticker", "ticker"), "form": (F.col("form") == "10-K") & agrees("f_form", "form"), "period": F.col("f_period").isNull() | (year == F.col("filing_year")),
+    }
+    return violations(rows, "doc", rules)

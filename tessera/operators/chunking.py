@@ -152,3 +152,21 @@ def coverage(chunk_sources: DataFrame, blocks: DataFrame, key: list[str]) -> Dat
     """One row: blocks, blocks some chunk came from, and their share."""
     hit = blocks.select(*key).join(chunk_sources.select(*key).distinct().withColumn("_hit", F.lit(1)), key, "left")
     return hit.agg(F.count(F.lit(1)).alias("blocks"), F.count("_hit").alias("covered"), F.round(F.count("_hit") / F.count(F.lit(1)), 6).alias("coverage"))
+
+
+def experiments(docs: DataFrame, doc: str, text: str, settings: list[tuple[str, int, int]]) -> DataFrame:
+    """Chunk counts and lengths for each (strategy, size, overlap); a setting that cannot be run keeps a row without figures."""
+    out = None
+    for strategy, size, overlap in settings:
+        label = [F.lit(strategy).alias("strategy"), F.lit(size).alias("size"), F.lit(overlap).alias("overlap")]
+        if not 0 <= overlap < size:
+            one = docs.sparkSession.range(1).select(*label, F.lit(False).alias("feasible"), F.lit(None).cast("long").alias("chunks"), F.lit(None).cast("double").alias("mean_length"))
+        else:
+            if strategy == "fixed":
+                lengths = fixed_spans(docs, doc, text, size, overlap).select((F.col("token_end") - F.col("token_start")).alias("n"))
+            else:
+                spans = recursive_spans(docs, doc, text, size, overlap).join(docs.select(F.col(doc).cast("long").alias(doc), F.col(text).alias("_t")), doc)
+                lengths = spans.select(F.size(tokens(F.substr("_t", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))).alias("n"))
+            one = lengths.agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("n"), 6).alias("mean_length")).select(*label, F.lit(True).alias("feasible"), "chunks", "mean_length")
+        out = one if out is None else out.unionByName(one)
+    return out

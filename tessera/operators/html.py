@@ -375,6 +375,27 @@ def extract_blocks(html_text: str | None, ticker: str, year: int, company: str =
     return walk.blocks
 
 
+def facts(html_text: str | None) -> dict[str, str]:
+    """The first value of each named inline XBRL fact, by the name's local part in lower case."""
+    out: dict[str, str] = {}
+    for n in parse(html_text).nodes():
+        if n.tag.startswith("ix:") and "name" in n.attrs:
+            value = normalize(n.raw_text())
+            if value:
+                out.setdefault(n.attrs["name"].rsplit(":", 1)[-1].lower(), value)
+    return out
+
+
+def filing_facts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(doc, fact, value) of every page's inline XBRL facts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(d, k, v) for d, t in zip(f["doc"], f["html"]) for k, v in facts(t).items()], columns=["doc", "fact", "value"])
+
+    return pages.select(F.col(id_col).cast("long").alias("doc"), F.col(html_col).alias("html")).mapInPandas(run, "doc bigint, fact string, value string")
+
+
 BLOCK_SCHEMA = (
     "doc bigint, block_id string, block_index int, section string, section_path array<string>, document_region string, effective_section_path array<string>, "
     "content_type string, text string, source_tag string, source_anchor string, heading_kind string, table_kind string, title string, units string, header_mode string, "

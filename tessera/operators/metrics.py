@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KS = (1, 3, 5, 10, 15, 20, 30)
@@ -66,3 +66,12 @@ def sweep(gold: DataFrame, results: DataFrame, id_col: str, ks: tuple[int, ...])
     found = (F.coalesce(F.col("rank") <= F.col("candidate_k"), F.lit(False))).cast("int")
     per = each.groupBy("candidate_k", "qid").agg(F.avg(found).alias("recall"), F.sum(1 - found).alias("missed"))
     return per.groupBy("candidate_k").agg(F.round(F.avg("recall"), 6).alias("mean_recall"), F.sum("missed").alias("missed_gold"))
+
+
+def within_group_ranks(scores: DataFrame, gold: DataFrame, groups: DataFrame, id_col: str, group: str) -> DataFrame:
+    """(qid, id, group, group_rank): where each gold item stands among the scored rows of its own group."""
+    owned = gold.select("qid", id_col).join(groups.select(id_col, group), id_col)
+    rows = scores.join(groups.select(id_col, group), id_col).join(F.broadcast(owned.select("qid", group).distinct()), ["qid", group], "left_semi")
+    order = Window.partitionBy("qid", group).orderBy(F.desc(F.round("score", 9)), id_col)
+    ranked = rows.withColumn("group_rank", F.row_number().over(order)).select("qid", id_col, "group_rank")
+    return owned.join(ranked, ["qid", id_col], "left")

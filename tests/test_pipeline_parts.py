@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import stats, text
-from tessera.operators import audit, bm25, chunker, chunking, fusion, html, logical, metrics, providers, release, retrieve, scope
+from tessera.operators import audit, bm25, chunker, chunking, fusion, html, logical, metrics, migration, providers, release, retrieve, scope
 from tessera.sources import tables as sources
 from tessera.streaming import ingest
 
@@ -199,3 +199,37 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_label_migration(spark):
+    chunks = spark.createDataFrame(
+        [("c1", ["b1", "b2"], "narrative", "The  Quick brown fox jumps.", None), ("c2", ["b2"], "narrative", "quick red fox sleeps", None), ("c3", ["b3"], "table", "x", "T1")],
+        "chunk_id string, block_ids array<string>, content_type string, text string, logical_table_id string",
+    )
+    evidence = spark.createDataFrame(
+        [(1, ["b2"], "narrative", "quick BROWN fox", None), (2, ["b3"], "table", "gone", "T1"), (3, ["b2"], "narrative", "quick red fox runs far", None), (4, ["b9"], "narrative", "x", None), (5, ["b2"], "narrative", "nothing of this kind", None)],
+        "evidence_id int, block_ids array<string>, content_type string, text string, logical_table_id string",
+    )
+    got = {r.evidence_id: (r.chunk_id, r.method) for r in migration.match_evidence(evidence, chunks).collect()}
+    assert got == {1: ("c1", "exact"), 2: ("c3", "table_identity"), 3: ("c2", "token_overlap"), 4: (None, "unresolved"), 5: (None, "unresolved")}
+
+
+def test_facts_and_metadata(spark):
+    page = '<ix:nonNumeric name="dei:DocumentType">10-K</ix:nonNumeric><ix:nonNumeric name="dei:EntityCentralIndexKey">0000000042</ix:nonNumeric><ix:nonNumeric name="dei:DocumentPeriodEndDate">December 31, 2024</ix:nonNumeric><ix:nonNumeric name="dei:DocumentType">10-Q</ix:nonNumeric>'
+    assert html.facts(page)["documenttype"] == "10-K"
+    pages = spark.createDataFrame([(1, page), (2, page), (3, None)], "page_id long, html string")
+    filings = spark.createDataFrame([(1, "AB", "42", "10-K", 2024), (2, "AB", "42", "10-K", 2023), (3, "ZZ", "1", "8-K", 2024)], "doc long, ticker string, cik string, form string, filing_year int")
+    companies = spark.createDataFrame([("AB", "0000000042")], "ticker string, cik string")
+    got = {(r.doc, r.rule) for r in audit.metadata_violations(filings, companies, html.filing_facts(pages)).collect()}
+    assert got == {(2, "period"), (3, "unknown_company"), (3, "cik"), (3, "form")}
+
+
+def test_chunking_experiments_and_group_ranks(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "a b")], "doc_id long, text string")
+    rows = {(r.strategy, r["size"]): r for r in chunking.experiments(docs, "doc_id", "text", [("fixed", 4, 1), ("recursive", 4, 0), ("fixed", 2, 2)]).collect()}
+    assert rows["fixed", 4].chunks == 3 and rows["recursive", 4].chunks == 3 and rows["fixed", 2].feasible is False
+    scores = scored(spark, [(1, 1, 0.9), (1, 2, 0.8), (1, 3, 0.7)])
+    groups = spark.createDataFrame([(1, "A"), (2, "B"), (3, "B")], "doc_id long, g string")
+    gold = spark.createDataFrame([(1, 3), (1, 9)], "qid long, doc_id long")
+    got = [(r.doc_id, r.group_rank) for r in metrics.within_group_ranks(scores, gold, groups, "doc_id", "g").collect()]
+    assert got == [(3, 2)]
