@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ordered_digest, tokens
-from tessera.operators import chunking
+from tessera.jobs import CONFIG
+from tessera.operators import audit, chunker, chunking
+from tessera.operators.html import html_blocks
 from tessera.sources.tables import table
 
 SIZE, OVERLAP = 500, 32
@@ -76,11 +78,22 @@ def bounded_lookback_title(spark: SparkSession, sf: str) -> DataFrame:
     return rows.filter("role = 'assistant'").select("conv_id", "turn", F.col("title.turn").alias("title_turn"), F.sha2(F.col("title.text"), 256).alias("title_sha256"))
 
 
+def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages to blocks to chunks of the production size."""
+    blocks = html_blocks(table(spark, sf, "pages"))
+    return chunker.chunk_blocks(blocks, CONFIG).select("doc", "chunk_id", "content_type", "section", "n_tokens", "block_ids", F.sha2("text", 256).alias("text_sha256"))
+
+
+def page_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Block counts of every page and of the corpus."""
+    return audit.filing_report(html_blocks(table(spark, sf, "pages")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         narrative_islands, chunk_fixed_spans, chunk_recursive_spans, chunk_provenance, chunk_overlaps, chunk_statistics, coverage_ratio, ordered_hash_digest,
-        lineage_consistency, bounded_lookback_title,
+        lineage_consistency, bounded_lookback_title, page_chunks, page_report,
     )
 }
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import search_terms
-from tessera.operators import bm25, dense, fusion, scope
+from tessera.operators import bm25, dense, fusion, retrieve, scope
 from tessera.sources.tables import table
 
 # In the synthetic texts a function word of each language stands in for a company's name.
 ALIASES = {"EN": ["the", "of the"], "FR": ["que", "est"], "DE": ["der", "die"], "ES": ["los", "del"]}
+SOURCES = {"src0": ["the"], "src1": ["que"], "src2": ["der"], "src3": ["los", "with"]}
 CUES = ["from the", "pour les", "mit der"]
 ENUMERATION = [r"\bwho (?:the|of|is)\b", r"\bthat (?:of|the)\b"]
 
@@ -57,13 +58,18 @@ def vector_norm_audit(spark: SparkSession, sf: str) -> DataFrame:
     return dense.norm_audit(table(spark, sf, "embeddings"))
 
 
-def term_overlap_ranks(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    """A second ranked list: the share of an item's distinct terms that a document has (qid, doc_id, score, rank)."""
+def term_overlap_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of an item's distinct terms that a document has: (qid, doc_id, score)."""
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(search_terms(F.col("text"))).alias("terms"))
     asked = asked.select("qid", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     docs = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(search_terms(F.col("text")))).alias("term"))
     shared = docs.join(F.broadcast(asked), "term").groupBy("qid", "doc_id", "n").agg(F.count(F.lit(1)).alias("hits"))
-    return bm25.top(shared.select("qid", "doc_id", (F.col("hits") / F.col("n")).alias("score")), k)
+    return shared.select("qid", "doc_id", (F.col("hits") / F.col("n")).alias("score"))
+
+
+def term_overlap_ranks(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """A second ranked list (qid, doc_id, score, rank)."""
+    return bm25.top(term_overlap_scores(spark, sf), k)
 
 
 def _two_lists(spark: SparkSession, sf: str, k: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -119,6 +125,14 @@ def scope_detect(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.array_join("companies", ",").alias("companies"), "scope")
 
 
+def scope_aware_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark item answered by the branch of its scope; sources stand in for companies."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    asked = scope.with_scope(items, "text", SOURCES, CUES, ENUMERATION).select("qid", "scope", "companies")
+    docs = table(spark, sf, "documents")
+    return retrieve.scope_aware(asked, term_overlap_scores(spark, sf), bm25.scores(table(spark, sf, "benchmark"), docs), docs, "doc_id", "source", top_k=10)
+
+
 def rerank_stub(spark: SparkSession, sf: str) -> DataFrame:
     """The hybrid pool ordered by a deterministic stand-in for a cross-encoder."""
     from tessera.operators.providers import OverlapScorer, rerank
@@ -132,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_scoped_postfilter, bm25_index_stats, dense_topk, dense_scoped_prefilter, dense_two_pool_union, vector_norm_audit, rrf_fusion,
-        hybrid_ranks, scope_detect, anchored_merge, enumeration_select, context_merge, context_coverage, rerank_stub,
+        hybrid_ranks, scope_detect, anchored_merge, enumeration_select, context_merge, context_coverage, rerank_stub, scope_aware_retrieval,
     )
 }
 

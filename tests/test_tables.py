@@ -3,6 +3,7 @@
 import pytest
 
 from tessera.functions import cells as C
+from tessera.operators import dom
 from tessera.operators import html as H
 from tessera.operators import tables as T
 
@@ -127,7 +128,7 @@ def test_regions_and_sections():
 def test_cleaning_and_text():
     root = H.parse('<body><div style="display:none">no</div><script>no</script><p>a<b>b</b>c<br>d co-<br>op soft­<br>ware<div>e</div><ix:nonFraction unitRef="usd" scale="6">5</ix:nonFraction></p><hr style="page-break-after: always"></body>')
     assert H.clean(root) == 1
-    assert H.visible_text(root) == "abc d co-op software e 5"
+    assert dom.visible_text(root) == "abc d co-op software e 5"
     assert H.extract_blocks(None, "T", 1) == [] and H.extract_blocks("<p>unclosed <b>x", "T", 1, whole_body=True)[0]["text"] == "unclosed x"
     open_tags = H.extract_blocks("<p><b>one<br><p>two<li>three<li>four", "T", 1, whole_body=True)
     assert [b["text"] for b in open_tags] == ["one", "two", "three", "four"]
