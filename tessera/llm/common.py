@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import pickle
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,22 @@ def send(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: pickle.loads(sent.value)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """Gives freed memory back to the system when a task's partition is done: workers are reused, by other stages too."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not glibc
+                pass
+
+    return wrapped
+
+
 def unused(name: str, taken: list[str]) -> str:
     """The name, with underscores added until no column has it (Spark's names ignore case)."""
     while name.lower() in {x.lower() for x in taken}:
@@ -137,16 +154,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+KEPT_POWERS = 1 << 20
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
-    out[0] = 1
+    out[:1] = 1
     return np.multiply.accumulate(out)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64; lengths up to a few MB are kept, rounded up to a power of two."""
-    most = 1 << max(10, (n - 1).bit_length())
-    return once(("powers", base, most), lambda: _powers(base, most))[:n] if most <= 1 << 22 else _powers(base, n)
+    """1, base, base**2, ... modulo 2**64; one table a base is kept, longer ones are made when asked for."""
+    return once(("powers", base), lambda: _powers(base, KEPT_POWERS))[:n] if n <= KEPT_POWERS else _powers(base, n)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

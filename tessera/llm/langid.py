@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_tables, flat, pieces, send, stored, unused
+from .common import byte_tables, flat, pieces, send, stored, tidy, unused
 
 DEPTH = 3
 CAPACITY = 1 << 18
@@ -65,7 +65,7 @@ def count_windows(train: DataFrame) -> DataFrame:
         for lang, (g, n) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    return train.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", sharpness: fl
                 cols = [b.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names=[*names, *out])
 
-    return docs.withColumn(mark, letters).mapInArrow(run, schema)
+    return docs.withColumn(mark, letters).mapInArrow(tidy(run), schema)
 
 
 def identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", capacity: int = CAPACITY) -> DataFrame:
