@@ -135,11 +135,11 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts the largest id, once even if the row repeats."""
     found = stored(exact_dedup(docs, id_col=id_col, text_col=text_col), "verdicts")
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest"))
+    mark, gone_id, gone_digest = (unused(x, docs.columns) for x in ("digest", "gone_id", "gone_digest"))
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias(gone_id), F.unhex("text_sha256").alias(gone_digest))
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone.hint("merge")
-    mark = unused("digest", docs.columns)
     keyed = docs.withColumn(mark, F.unhex(F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER), 256)))
-    kept = keyed.join(gone, keyed[id_col].cast("long").eqNullSafe(F.col("gone_id")) & (keyed[mark] == F.col("gone_digest")), "left_anti")
+    kept = keyed.join(gone, keyed[id_col].cast("long").eqNullSafe(gone[gone_id]) & (keyed[mark] == gone[gone_digest]), "left_anti")
     repeats = found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1")
     if not repeats.isEmpty():
         kept = kept.dropDuplicates([id_col, mark])

@@ -155,8 +155,9 @@ def fit(train: DataFrame, capacity: int = CAPACITY) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", sharpness: float = 20.0, out: tuple[str, str, str] = ("lang_pred", "score", "bits")) -> DataFrame:
-    """All columns of docs, as they are, plus the prediction, its score and its code length in bits a byte, under the names `out`."""
+    """All columns of docs, as they are, plus the prediction, its score and its code length in bits a byte, under the names `out` (with underscores added if docs has a column of that name)."""
     names = docs.columns
+    out = tuple(unused(x, names) for x in out)
     sent = send(docs.sparkSession, model)
     kinds = ("string", "double", "double")
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T._parse_datatype_string(k)) for n, k in zip(out, kinds)]])
@@ -190,5 +191,6 @@ def identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """The rows of docs whose text gets a language, with all their columns; the model learns from the rows that name one."""
     train = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     model = fit(train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), capacity)
-    out = tuple(unused(x, docs.columns) for x in ("lang_pred", "score", "bits"))
-    return predict(docs, model, text_col, out=out).filter(F.col(out[0]) != "und").drop(*out)
+    found = predict(docs, model, text_col)
+    added = found.columns[len(docs.columns) :]
+    return found.filter(F.col(added[0]) != "und").drop(*added)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix, pieces, send, shingles, stored, tidy, words
+from .common import flat, mix, pieces, send, shingles, stored, tidy, unused, words
 from .components import components
 
 PERMUTATIONS, BANDS, MISS = 176, 44, 2e-6
@@ -208,6 +208,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 def distinct_documents(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs whose id is the smallest of its near-duplicate group, with all their columns."""
-    gone = stored(near_duplicates(docs, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    name = unused("gone_id", docs.columns)
+    gone = stored(near_duplicates(docs, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone.hint("merge")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import flat, once, pieces, send, shingles, tidy, words
+from .common import flat, once, pieces, send, shingles, tidy, unused, words
 
 MAX_TRAIN = 20_000
 BINS, COARSE = 48, 8
@@ -236,11 +237,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """All columns of docs plus the score of each whole text."""
+    """All columns of docs plus the score of each whole text, named `out` (with underscores added if docs has such a column)."""
     names = docs.columns
     at = names.index(text_col)
+    out = unused(out, names)
     sent = send(docs.sparkSession, model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent()
@@ -248,4 +250,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
             for b in pieces(whole, text_col) if whole.num_rows else []:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(features(b.column(at))))], names=[*names, out])
 
-    return docs.mapInArrow(tidy(run), f"{fields}, `{out}` double")
+    return docs.mapInArrow(tidy(run), schema)

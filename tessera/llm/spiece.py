@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat, mix, once, pieces, powers, send, tidy
+from .common import flat, mix, once, pieces, powers, send, tidy, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DIGESTS = "doc_id long, sample int, n_pieces long, ids_sha256 string, text_sha256 string, round_trip boolean, log_prob double, log_inclusion double"
@@ -366,9 +366,10 @@ def segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 7
 
 
 def decoded(rows: DataFrame, model_path: str = MODEL, ids_col: str = "ids", out: str = "text") -> DataFrame:
-    """All columns of rows plus the text of each array of piece ids (null ids give a null text)."""
+    """All columns of rows plus the text of each array of piece ids (null ids give a null text; a taken name gets underscores)."""
     sent = send(rows.sparkSession, vocabulary(model_path))
     names = rows.columns
+    out = unused(out, names)
     at = names.index(ids_col)
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
 

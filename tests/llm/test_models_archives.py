@@ -99,7 +99,7 @@ def test_quality_learns_tables_and_pairs(spark):
         rows.append((i, " ".join(words) + "." if good else " ".join(w.upper() + "!!" if i % 2 else w + "%%%" for w in words), f"s{i % 4}", 0.5))
         labels.append((i, int(good) if i % 50 else None))
     rows += [(5000, None, "s", 0.0), (5001, "", "s", 0.0), (5002, "x " * 100_000, "s", 0.0), (None, "some words here.", "s", 0.0), (0, rows[0][1], "s", 0.0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string, scored double").repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string, score_ double").repartition(3)
     marks = spark.createDataFrame(labels, "doc_id long, quality int")
     model = quality.fit(docs, marks.filter("doc_id % 5 <> 0"))
     got = quality.score(docs, model).collect()
@@ -158,3 +158,19 @@ def test_lookup_of_single_captures_and_empty_tables(spark):
 def test_reversed_host_keys():
     assert warc.reversed_host("HTTP://www.Example.com/A?b#c") == "com,example,www)/A?b"
     assert warc.reversed_host("http://a.b?x/y") == "b,a)?x/y" and warc.reversed_host(None) == "" and warc.reversed_host("x") == ""
+
+
+def test_taken_column_names(spark):
+    docs = spark.createDataFrame([(1, "some text here", 2.0, "x", "y", "z")], "doc_id long, text string, score double, lang_pred string, gone_id string, digest string")
+    from tessera.llm import exactdup, langid, neardup
+
+    model = quality.fit(docs, docs.select("doc_id").limit(0).selectExpr("doc_id", "1 AS quality"))
+    assert quality.score(docs, model).columns == [*docs.columns, "score_"]
+    trained = langid.fit(docs.selectExpr("text", "'en' AS lang"))
+    assert langid.predict(docs, trained).columns == [*docs.columns, "lang_pred_", "score_", "bits"]
+    for kept in (exactdup.distinct_documents(docs), neardup.distinct_documents(docs)):
+        assert kept.columns == docs.columns and kept.count() == 1
+    pages = spark.createDataFrame([(1, "http://a.b/", "h", "w", "d")], "page_id long, url string, html string, winner string, digest string")
+    assert warc.archive(pages).first().record_type == "response"
+    ids = spiece.segmentations(docs, k=1).withColumnRenamed("doc_id", "text")
+    assert spiece.decoded(ids).first().text_ == "some text here"
