@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import p95_ceil_eps, p95_linear, p95_nearest_rank
-from tessera.operators import bm25, fusion, metrics
+from tessera.functions.text import token_overlap, tokens
+from tessera.operators import bm25, metrics
 from tessera.plans import retrieval as R
 from tessera.sources.tables import table
 
@@ -76,10 +77,6 @@ def candidate_k_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_overlap_match(spark: SparkSession, sf: str) -> DataFrame:
     """For each passage the hybrid candidate whose tokens cover it best, if at least 0.60 (ties: smaller id); 'exact' where it is contained."""
-    from pyspark.sql import Window
-
-    from tessera.functions.text import token_overlap, tokens
-
     pool = R.hybrid(spark, sf).filter("rank <= 30").select("qid", "doc_id")
     pairs = pool.join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").join(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage")), "qid")
     low = lambda c: tokens(F.lower(F.col(c)))
