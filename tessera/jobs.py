@@ -58,7 +58,7 @@ def search(spark: SparkSession, documents: str, queries: str, out: str, k: int =
     asked = spark.read.parquet(queries)
     found = bm25.top(bm25.scores(asked, spark.read.parquet(documents)), k)
     scopes = scope.with_scope(asked.select(F.col("item_id").alias("qid"), "text"), "text").select("qid", "scope")
-    return save(found.join(F.broadcast(scopes), "qid", "left"), out, overwrite)
+    return save(found.join(scopes, "qid", "left"), out, overwrite)
 
 
 def dense_search(spark: SparkSession, vectors: str, queries: str, out: str, k: int = 30, overwrite: bool = False) -> DataFrame:

@@ -3,10 +3,10 @@
 idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a term adds idf * tf / (tf + k1 * (1 - b + b * dl / avgdl)).
 Only documents with a score above 0 are ranked. Ties go to the smaller document id.
 
-Queries are few next to documents: their distinct terms are broadcast while there are at most
-BROADCAST_TERMS of them, so a document's tokens are filtered where they are read and only
-(document, term, tf) rows of query terms are shuffled; with more terms the join is left to
-Spark. A stored index (`postings`) serves repeated query batches.
+Queries are few next to documents. Their terms carry no hint: Spark broadcasts them while their
+size is under its threshold, so a document's tokens are filtered where they are read and only
+(document, term, tf) rows of query terms are shuffled; larger query sets meet the tokens by a
+shuffle. A stored index (`postings`) serves repeated query batches.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from tessera.functions.text import search_terms
 
 K1, B = 1.5, 0.75
-BROADCAST_TERMS = 200_000
 
 
 def doc_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -26,11 +25,6 @@ def doc_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("dl", F.size("terms"))
 
 
-def corpus_facts(terms: DataFrame) -> DataFrame:
-    """One row: n_docs and avgdl."""
-    return terms.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-
-
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, doc_id, tf, dl) for every term of every document."""
     terms = doc_terms(docs, id_col, text_col)
@@ -54,14 +48,16 @@ def scores(queries: DataFrame, docs: DataFrame, qid: str = "item_id", query_text
     """(qid, doc_id, score) of every document that has a query term; each distinct query term counts once."""
     asked = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(search_terms(F.col(query_text)))).alias("term"))
     wanted = asked.select("term").distinct()
-    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        wanted, asked = F.broadcast(wanted), F.broadcast(asked)
-    terms = doc_terms(docs, id_col, text_col)
-    facts = F.broadcast(corpus_facts(terms))
-    tf = terms.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # One scan: the empty term stands in every document and so counts documents and lengths with the others.
+    # df and the facts read the same exchange as tf (their aggregates need all of its columns).
+    every = doc_terms(docs, id_col, text_col).withColumn("terms", F.concat("terms", F.array(F.lit(""))))
+    wanted = wanted.unionAll(queries.sparkSession.range(1).select(F.lit("").alias("term")))
+    tf = every.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    stats = tf.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"), F.sum("dl").alias("length"))
+    of_all = lambda c: F.max(F.when(F.col("term") == "", F.col(c)))
+    facts = stats.agg(of_all("df").alias("n_docs"), (of_all("length") / of_all("df")).alias("avgdl"))
     weight = idf(F.col("n_docs"), F.col("df")) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighed = tf.join(df, "term").join(facts).select("term", "doc_id", weight.alias("w"))
+    weighed = tf.join(stats.select("term", "df"), "term").join(F.broadcast(facts)).select("term", "doc_id", weight.alias("w"))
     return weighed.join(asked, "term").groupBy("qid", "doc_id").agg(F.sum("w").alias("score"))
 
 

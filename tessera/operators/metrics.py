@@ -71,7 +71,7 @@ def sweep(gold: DataFrame, results: DataFrame, id_col: str, ks: tuple[int, ...])
 def within_group_ranks(scores: DataFrame, gold: DataFrame, groups: DataFrame, id_col: str, group: str) -> DataFrame:
     """(qid, id, group, group_rank): where each gold item stands among the scored rows of its own group."""
     owned = gold.select("qid", id_col).join(groups.select(id_col, group), id_col)
-    rows = scores.join(groups.select(id_col, group), id_col).join(F.broadcast(owned.select("qid", group).distinct()), ["qid", group], "left_semi")
+    rows = scores.join(groups.select(id_col, group), id_col).join(owned.select("qid", group).distinct(), ["qid", group], "left_semi")
     order = Window.partitionBy("qid", group).orderBy(F.desc(F.round("score", 9)), id_col)
     ranked = rows.withColumn("group_rank", F.row_number().over(order)).select("qid", id_col, "group_rank")
     return owned.join(ranked, ["qid", id_col], "left")

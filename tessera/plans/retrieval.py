@@ -64,7 +64,7 @@ def term_overlap_scores(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(search_terms(F.col("text"))).alias("terms"))
     asked = asked.select("qid", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     docs = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(search_terms(F.col("text")))).alias("term"))
-    shared = docs.join(F.broadcast(asked), "term").groupBy("qid", "doc_id", "n").agg(F.count(F.lit(1)).alias("hits"))
+    shared = docs.join(asked, "term").groupBy("qid", "doc_id", "n").agg(F.count(F.lit(1)).alias("hits"))
     return shared.select("qid", "doc_id", (F.col("hits") / F.col("n")).alias("score"))
 
 
