@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
@@ -84,6 +85,16 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+ARROW_ROWS = 1000
+"""Rows an Arrow batch in these operators: texts may be long, and a batch is held by Spark and by the worker at once."""
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow over batches of at most ARROW_ROWS rows (a setting of the session), leaving no freed memory with the worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df.mapInArrow(tidy(run), schema)
+
+
 def unused(name: str, taken: list[str]) -> str:
     """The name, with underscores added until no column has it (Spark's names ignore case)."""
     while name.lower() in {x.lower() for x in taken}:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, pieces, send, shingles, tidy, words
+from .common import arrow_map, flat, pieces, send, shingles, words
 
 WIDTH = 5
 
@@ -136,7 +136,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col:
                     if len(t):
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array([ix.ids[x] for x in j], pa.int64()), pa.array(ix.sizes[j]), pa.array(n)], ["doc_id", "item_id", "n_item_shingles", "n_shared"])
 
-        part = rows.mapInArrow(tidy(run), schema)
+        part = arrow_map(rows, run, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
@@ -159,5 +159,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_co
                     keep[ix.search(h, at)[0]] = False
                     yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(tidy(run), docs.schema)
+        docs = arrow_map(docs, run, docs.schema)
     return docs

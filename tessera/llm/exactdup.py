@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, mix, stored, tidy, unused
+from .common import LOWER, UPPER, arrow_map, mix, stored, unused
 
 REGISTRY = "digest binary, keep_id long, group_size long"
 HOT_SHARE = 2000
@@ -36,7 +36,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out = [hashlib.sha256((x or b"").lower()).digest() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "digest"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(tidy(run), "doc_id long, digest binary")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), run, "doc_id long, digest binary")
 
 
 def registry(rows: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_tables, flat, pieces, send, stored, tidy, unused
+from .common import arrow_map, byte_tables, flat, pieces, send, stored, unused
 
 DEPTH = 3
 CAPACITY = 1 << 18
@@ -51,21 +51,24 @@ def count_windows(train: DataFrame) -> DataFrame:
     """(lang, gram, n) over all rows of (text, lang); a task adds up its rows before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            g, back = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            return g, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64)
+
         for b in batches:
             for lang in b.column(1).unique().to_pylist():
-                own = b.filter(pa.compute.equal(b.column(1), lang))
-                for part in pieces(own, "text", 2 << 20):
-                    g, n = np.unique(windows(*flat(part.column(0))), return_counts=True)
-                    old = held.get(lang)
-                    if old is not None:
-                        g, back = np.unique(np.concatenate([old[0], g]), return_inverse=True)
-                        n = np.bincount(back, np.concatenate([old[1], n])).astype(np.int64)
-                    held[lang] = [g, n]
-        for lang, (g, n) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                parts = held.setdefault(lang, [])
+                for part in pieces(b.filter(pa.compute.equal(b.column(1), lang)), "text", 1 << 19):
+                    parts.append(np.unique(windows(*flat(part.column(0))), return_counts=True))
+                if sum(len(g) for g, _ in parts) > 1 << 20:
+                    held[lang] = [added(parts)]
+        for lang, parts in ((x, y) for x, y in held.items() if y):
+            g, n = added(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    return train.mapInArrow(tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return arrow_map(train, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -184,7 +187,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", sharpness: fl
                 cols = [b.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names=[*names, *out])
 
-    return docs.withColumn(mark, letters).mapInArrow(tidy(run), schema)
+    return arrow_map(docs.withColumn(mark, letters), run, schema)
 
 
 def identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", capacity: int = CAPACITY) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix, pieces, send, shingles, stored, tidy, unused, words
+from .common import arrow_map, flat, mix, pieces, send, shingles, stored, unused, words
 from .components import components
 
 PERMUTATIONS, BANDS, MISS = 176, 44, 2e-6
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, rows: int) -> DataFrame:
                         bands[i] = row
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "bands"])
 
-    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, print binary, bands array<long>")
+    return arrow_map(docs, run, "doc_id long, n_shingles long, print binary, bands array<long>")
 
 
 def clusters(reps: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def sets_for(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             for b in pieces(whole, "text") if whole.num_rows else []:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(b.column(1))], pa.binary())], ["doc_id", "shingles"])
 
-    return docs.withColumn("h", F.xxhash64("doc_id")).filter("doc_id IS NOT NULL").mapInArrow(tidy(run), "doc_id long, shingles binary")
+    return arrow_map(docs.withColumn("h", F.xxhash64("doc_id")).filter("doc_id IS NOT NULL"), run, "doc_id long, shingles binary")
 
 
 def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat, once, pieces, send, shingles, tidy, unused, words
+from .common import arrow_map, flat, once, pieces, send, shingles, unused, words
 
 MAX_TRAIN = 20_000
 BINS, COARSE = 48, 8
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for b in pieces(whole, "text") if whole.num_rows else []:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(features(b.column(1))), pa.list_(pa.float64()))], ["y", "x"])
 
-    table = used.mapInArrow(tidy(run), "y int, x array<double>").toArrow()
+    table = arrow_map(used, run, "y int, x array<double>").toArrow()
     y = table.column("y").to_numpy().astype(np.float64)
     x = np.array(table.column("x").to_pylist(), np.float64).reshape(len(y), len(FEATURES))
     order = np.lexsort([*x.T, y])  # the same model whatever the order of partitions
@@ -250,4 +250,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
             for b in pieces(whole, text_col) if whole.num_rows else []:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(features(b.column(at))))], names=[*names, out])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return arrow_map(docs, run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat, mix, once, pieces, powers, send, tidy, unused
+from .common import arrow_map, flat, mix, once, pieces, powers, send, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DIGESTS = "doc_id long, sample int, n_pieces long, ids_sha256 string, text_sha256 string, round_trip boolean, log_prob double, log_inclusion double"
@@ -345,7 +345,7 @@ def segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 7
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = once(("trie", model_path, alpha), lambda: Trie(sent(), alpha))
         for whole in batches:
-            for b in pieces(whole, "text", 1 << 20) if whole.num_rows else []:
+            for b in pieces(whole, "text", 1 << 19) if whole.num_rows else []:
                 found = list(_sampled(b, trie, k, seed))
                 at = pa.array([t for t, *_ in found], pa.int64())
                 head = [b.column(0).take(at), pa.array([j for _, j, *_ in found], pa.int32())]
@@ -362,7 +362,7 @@ def segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 7
                 else:
                     yield pa.RecordBatch.from_arrays([*head, pa.array([x[2] for x in found], pa.list_(pa.int32())), same, *tail], names=["doc_id", "sample", "ids", "round_trip", "log_prob", "log_inclusion"])
 
-    return rows.mapInArrow(tidy(run), DIGESTS if digests else SEGMENTS)
+    return arrow_map(rows, run, DIGESTS if digests else SEGMENTS)
 
 
 def decoded(rows: DataFrame, model_path: str = MODEL, ids_col: str = "ids", out: str = "text") -> DataFrame:
@@ -379,4 +379,4 @@ def decoded(rows: DataFrame, model_path: str = MODEL, ids_col: str = "ids", out:
             texts = [None if x is None else decode(trie, np.array(x, np.int64)).decode() for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*names, out])
 
-    return rows.mapInArrow(tidy(run), schema)
+    return arrow_map(rows, run, schema)

@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, send, stored
+from .common import arrow_map, scratch, send, stored
 
 BLOCK_LINES = 512
 BROADCAST_ROWS = 100_000
@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
             out.close()
             fs.move(f"{path}/.{name}.part", f"{path}/{name}")
 
-    return stored(rows.mapInArrow(run, CAPTURE), "captures")
+    return stored(arrow_map(rows, run, CAPTURE), "captures")
 
 
 def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -181,7 +181,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
                 f.write(zlib.compress(json.dumps(directory).encode()))
             yield pa.RecordBatch.from_pydict({"index": [f"{folder}/{name}.idx"], "directory": [f"{folder}/{name}.dir"], "first_key": [directory[0][0]], "first_id": [directory[0][1]], "blocks": [len(directory)]})
 
-    return stored(dealt.mapInArrow(run, "index string, directory string, first_key string, first_id long, blocks long"), "manifest")
+    return stored(arrow_map(dealt, run, "index string, directory string, first_key string, first_id long, blocks long"), "manifest")
 
 
 class Index:
@@ -231,7 +231,7 @@ def lookup(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([reversed_host(u) for u in b.column(0).to_pylist()], pa.string()), b.column(1)], ["key", "page_id"])
 
-    keyed = keyed.mapInArrow(keys, "key string, page_id long").distinct()
+    keyed = arrow_map(keyed, keys, "key string, page_id long").distinct()
     parts = max(len(files), 1)
     keyed = keyed.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
 
@@ -256,7 +256,7 @@ def lookup(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return keyed.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return arrow_map(keyed, run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
