@@ -63,10 +63,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def send(spark: SparkSession, value: object) -> Callable[[], object]:
-    """Broadcast a value together with its class; the function returned gives it on a worker."""
+def send(spark: SparkSession, value: object, keep: bool = True) -> Callable[[], object]:
+    """Broadcast a value together with its class; the function returned gives it on a worker (without `keep` the worker reads it again at each call)."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(sent.value)
+
+    def load() -> object:
+        found = pickle.loads(sent.value)
+        if not keep and vars(sent).get("_path"):
+            vars(sent).pop("_value", None)
+        return found
+
+    return load
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

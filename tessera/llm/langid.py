@@ -9,9 +9,12 @@ the shortest total code wins; `score` is its posterior at equal priors, from cod
 byte times `sharpness`.
 
 Training counts all 4-byte windows of all training rows: distinct windows a task are added up
-before the shuffle. The driver gets the `capacity` most frequent windows of each language at
-most, 12 bytes each: that bounds the broadcast; the counts of all shorter
-contexts follow from them.
+before the shuffle. Every window counted is scored with. Up to `capacity` windows (of all
+languages) make one model; more are cut into blocks by the two bytes before the last, so that
+the contexts of depth 3 and 2 are whole in their block (at most 2**16 windows a language have
+the same two bytes). A block knows the counts of depth 1 and 0 of all windows (at most 2**16 a
+language). A worker goes through all blocks for each few megabytes of text, adding the code
+lengths of the bytes whose windows lie in the block; it and the driver hold one block at a time.
 
 Null texts and texts without a letter are `und` with score 0. Rows without a language are not
 learned from. Without any training row everything is `und`.
@@ -19,18 +22,21 @@ learned from. Without any training row everything is `und`.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_map, byte_tables, flat, pieces, send, stored, unused
 
 DEPTH = 3
-CAPACITY = 1 << 18
+CAPACITY = 1 << 20
+PLACES = 1 << 16
+SLICES = 32
 _BITS = 20
 _MULT = np.uint32(0x9E3779B1)
 
@@ -72,17 +78,20 @@ def count_windows(train: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Code lengths of all frequent windows, hashed; `score` needs no other table."""
+    """Code lengths of windows, hashed, from the counts of each language.
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
+    With a `span` the counts are those of the windows with these two bytes before the last (from, to), and only such
+    bytes of a text are charged; `low` then has the counts of the last two bytes of all windows.
+    """
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], span: tuple[int, int] | None = None, low: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
+        self.langs, self.span = sorted(counts), span
         self.trees = []
         for lang in self.langs:
-            g, n = counts[lang]
-            order = np.argsort(g)
-            g, n = g[order].astype(np.uint32), n[order].astype(np.float64)
             levels = []
             for k in range(DEPTH, -1, -1):  # context length k: symbol windows and their contexts
+                g, n = (low if low is not None and k < 2 else counts)[lang]
+                g, n = g.astype(np.uint32), n.astype(np.float64)
                 mask = np.uint32(0xFFFFFFFF if k == 3 else (1 << 8 * (k + 1)) - 1)
                 key, back = np.unique(g & mask, return_inverse=True)
                 own = np.bincount(back, n, len(key))
@@ -107,6 +116,8 @@ class Model:
         out = np.zeros(len(w))
         todo = np.arange(len(w))
         for k, (key, own, ctx, total, kinds) in zip(range(DEPTH, -1, -1), self.trees[i]):
+            if not len(key):
+                continue
             mask = np.uint32(0xFFFFFFFF if k == 3 else (1 << 8 * (k + 1)) - 1)
             x = w[todo] & mask
             c = np.minimum(np.searchsorted(ctx, x >> np.uint32(8)), len(ctx) - 1)
@@ -125,7 +136,10 @@ class Model:
         w = windows(data, offsets)
         at = self._place(w)
         hit = self.taken[at] & (self.slot[at] == w)
-        rare = np.flatnonzero(~hit)
+        if self.span:
+            place = (w >> np.uint32(8)) & np.uint32(PLACES - 1)
+            own = (place >= self.span[0]) & (place < self.span[1])
+        rare = np.flatnonzero(~hit & own if self.span else ~hit)
         kinds, back = np.unique(w[rare], return_inverse=True)
         out = np.zeros((len(self.langs), len(offsets) - 1))
         full = np.flatnonzero(np.diff(offsets))
@@ -134,58 +148,97 @@ class Model:
         for i in range(len(self.langs)):
             bits = self.cost[i][at].astype(np.float64)
             bits[rare] = self._bits(i, kinds)[back]
+            if self.span:
+                bits[~own] = 0
             out[i, full] = np.add.reduceat(bits, offsets[full])  # a text's own sum, whatever its batch
         return out
 
 
-def fit(train: DataFrame, capacity: int = CAPACITY) -> Model:
-    """A model from (text, lang) rows with a language; `capacity` bounds the windows kept a language."""
-    counts = stored(count_windows(train), "windows")
-    # a histogram of counts (a few hundred rows a language) tells which count leaves at most `capacity` windows
-    size = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    above = F.sum("kinds").over(Window.partitionBy("lang").orderBy(F.desc("size")))
-    rows = counts.groupBy("lang", size.alias("size")).agg(F.count(F.lit(1)).alias("kinds")).withColumn("above", above)
-    least = {r.lang: r.least for r in rows.filter(F.col("above") <= capacity).groupBy("lang").agg(F.min("size").alias("least")).collect()}
-    bound = F.lit(None).cast("long")
-    for lang, x in least.items():
-        bound = F.when(F.col("lang") == lang, x).otherwise(bound)
-    table = counts.filter(size >= bound).toArrow()  # at most `capacity` rows a language
-    out = {}
-    for lang in sorted(least):
-        own = table.filter(pa.compute.equal(table.column("lang"), lang))
-        out[lang] = (own.column("gram").to_numpy().astype(np.uint32), own.column("n").to_numpy())
-    return Model(out)
-
-
-def predict(docs: DataFrame, model: Model, text_col: str = "text", sharpness: float = 20.0, out: tuple[str, str, str] = ("lang_pred", "score", "bits")) -> DataFrame:
+class Trained:
+    """All windows counted, as a table (lang, gram, n), and the spans of places (the two bytes before the last) that make a block each."""
+
+    def __init__(self, counts: DataFrame, capacity: int):
+        self.counts = counts
+        self.place = F.shiftright("gram", 8).bitwiseAND(F.lit(PLACES - 1))
+        sizes = counts.groupBy(self.place.alias("place")).agg(F.count(F.lit(1)).alias("kinds")).toArrow()  # at most PLACES rows
+        kinds = np.bincount(sizes.column("place").to_numpy(), sizes.column("kinds").to_numpy(), PLACES)
+        starts, total = [0], 0
+        for place in np.flatnonzero(kinds):
+            if total and total + kinds[place] > capacity:
+                starts.append(int(place))
+                total = 0
+            total += kinds[place]
+        self.spans = list(zip(starts, [*starts[1:], PLACES]))
+        self.low = None
+        if len(self.spans) > 1:
+            last = F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")
+            self.low = self._arrays(counts.groupBy("lang", last).agg(F.sum("n").alias("n")))  # at most 2**16 rows a language
+
+    @staticmethod
+    def _arrays(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        table = counts.toArrow()
+        out = {}
+        for lang in sorted(table.column("lang").unique().to_pylist()):
+            own = table.filter(pa.compute.equal(table.column("lang"), lang))
+            out[lang] = (own.column("gram").to_numpy(), own.column("n").to_numpy())
+        return out
+
+    def block(self, k: int) -> Model:
+        if self.low is None:
+            return Model(self._arrays(self.counts))
+        span = self.spans[k]
+        found = self._arrays(self.counts.filter((self.place >= span[0]) & (self.place < span[1])))
+        none = np.empty(0, np.int64)
+        return Model({lang: found.get(lang, (none, none)) for lang in self.low}, span, self.low)
+
+
+def fit(train: DataFrame, capacity: int = CAPACITY) -> Trained:
+    """All windows of (text, lang) rows with a language; `capacity` bounds the windows held at once, not those kept."""
+    return Trained(stored(count_windows(train), "windows"), capacity)
+
+
+def predict(docs: DataFrame, model: Trained, text_col: str = "text", sharpness: float = 20.0, out: tuple[str, str, str] = ("lang_pred", "score", "bits")) -> DataFrame:
     """All columns of docs, as they are, plus the prediction, its score and its code length in bits a byte, under the names `out` (with underscores added if docs has a column of that name)."""
-    names = docs.columns
+    spark, names = docs.sparkSession, docs.columns
     out = tuple(unused(x, names) for x in out)
-    sent = send(docs.sparkSession, model)
     kinds = ("string", "double", "double")
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T._parse_datatype_string(k)) for n, k in zip(out, kinds)]])
     mark = unused("letters", [*names, *out])
     letters = F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False))
     place = names.index(text_col)
+    sent = [send(spark, model.block(k), keep=len(model.spans) == 1) for k in range(len(model.spans))]
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
+        """Slices of the batches, the languages, and the total code lengths: a row a language, a column a text."""
+        slices = (b for whole in batches if whole.num_rows for b in pieces(whole, text_col, 1 << 19))
+        if len(sent) == 1:
+            m = sent[0]()
+            for b in slices:
+                yield b, m.langs, m.lengths(*flat(b.column(place)))
+            return
+        while some := list(itertools.islice(slices, SLICES)):
+            total = [0.0] * len(some)
+            for block in sent:  # one at a time in memory
+                m = block()
+                total = [x + m.lengths(*flat(b.column(place))) for x, b in zip(total, some)]
+                langs = m.langs
+                del m
+            yield from ((b, langs, x) for b, x in zip(some, total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent()
-        for whole in batches:
-            for b in pieces(whole, text_col, 1 << 19) if whole.num_rows else []:
-                ok = b.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
-                n = b.num_rows
-                lang, score, bits = np.array(["und"] * n, object), np.zeros(n), np.zeros(n)
-                if m.langs:
-                    data, offsets = flat(b.column(place))
-                    total = m.lengths(data, offsets)
-                    rate = total / np.maximum(np.diff(offsets), 1)
-                    best = rate.argmin(axis=0)
-                    low = rate.min(axis=0)
-                    post = 1 / np.exp2(-sharpness * (rate - low)).sum(axis=0)
-                    lang[ok] = np.array(m.langs, object)[best[ok]]
-                    score[ok], bits[ok] = post[ok], low[ok]
-                cols = [b.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names=[*names, *out])
+        for b, langs, total in measured(batches):
+            ok = b.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
+            n = b.num_rows
+            lang, score, bits = np.array(["und"] * n, object), np.zeros(n), np.zeros(n)
+            if langs:
+                rate = total / np.maximum(pa.compute.binary_length(b.column(place)).fill_null(0).to_numpy(zero_copy_only=False), 1)
+                best = rate.argmin(axis=0)
+                low = rate.min(axis=0)
+                post = 1 / np.exp2(-sharpness * (rate - low)).sum(axis=0)
+                lang[ok] = np.array(langs, object)[best[ok]]
+                score[ok], bits[ok] = post[ok], low[ok]
+            cols = [b.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names=[*names, *out])
 
     return arrow_map(docs.withColumn(mark, letters), run, schema)
 

@@ -131,6 +131,25 @@ def test_ppm_code_lengths_equal_a_plain_context_tree():
             assert got[i, j] == pytest.approx(bits, abs=1e-3)
 
 
+def test_low_capacity_keeps_every_window_of_the_language_model(spark):
+    rng = np.random.default_rng(5)
+    texts = [("".join(rng.choice(list("abcdefg é"), 60)), lang) for lang in ("x", "y") for _ in range(30)] + [("zebra quiz", "z")]
+    train = spark.createDataFrame(texts, "text string, lang string")
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(900, None), (901, ""), (902, "other words 77")], "doc_id long, text string")
+    grams = {k: np.unique(langid.windows(*common.flat(pa.array([t for t, lang in texts if lang == k]))), return_counts=True) for k in "xyz"}
+    plain = langid.Model(grams).lengths(*common.flat(pa.array([r.text for r in docs.orderBy("doc_id").collect()])))
+    for capacity in (sum(len(g) for g, _ in grams.values()) // 3, 1 << 20):
+        model = langid.fit(train, capacity)
+        got = langid.predict(docs, model).orderBy("doc_id").collect()
+        for j, r in enumerate(got):
+            if r.doc_id in (900, 901):
+                assert (r.lang_pred, r.score, r.bits) == ("und", 0, 0)
+            else:
+                assert r.lang_pred == "xyz"[plain[:, j].argmin()]
+                assert r.bits == pytest.approx(plain[:, j].min() / len(r.text.encode()), abs=1e-5)
+        assert (len(model.spans) > 2) == (capacity < 1 << 20)
+
+
 def test_language_of_rows_and_odd_texts(spark):
     train = spark.createDataFrame([("the cat sat on the mat with the hat", "en"), ("le chat est sur la table avec le chien", "fr")] * 20, "text string, lang string")
     model = langid.fit(train)
