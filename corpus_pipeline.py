@@ -12,7 +12,7 @@ from tessera.llm.common import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no letter, or no text) go."""
+    """Documents in which no language can be told (no letter, no text, or a code far too long for any language learned) go."""
     return langid.identified(docs)
 
 

@@ -37,6 +37,7 @@ DEPTH = 3
 CAPACITY = 1 << 20
 PLACES = 1 << 16
 SLICES = 32
+FOLDS, LEAST_ROWS, SPREADS, ALLOWANCE = 8, 30, 12, 64
 _BITS = 20
 _MULT = np.uint32(0x9E3779B1)
 
@@ -162,6 +163,7 @@ class Trained:
         self.place = F.shiftright("gram", 8).bitwiseAND(F.lit(PLACES - 1))
         sizes = counts.groupBy(self.place.alias("place")).agg(F.count(F.lit(1)).alias("kinds")).toArrow()  # at most PLACES rows
         kinds = np.bincount(sizes.column("place").to_numpy(), sizes.column("kinds").to_numpy(), PLACES)
+        self.empty = not kinds.any()
         starts, total = [0], 0
         for place in np.flatnonzero(kinds):
             if total and total + kinds[place] > capacity:
@@ -243,10 +245,31 @@ def predict(docs: DataFrame, model: Trained, text_col: str = "text", sharpness:
     return arrow_map(docs.withColumn(mark, letters), run, schema)
 
 
+def bounds(train: DataFrame, capacity: int = CAPACITY) -> dict[str, float]:
+    """The most bits a byte a text of a language may cost, from rows of (text, lang) that the model measuring them was not taught; none for a language with too few of these."""
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
+    found = predict(train.filter(fold), fit(train.filter(~fold), capacity))
+    fair = found.filter((F.col("lang_pred") == F.col("lang")) & (F.octet_length("text") >= ALLOWANCE))
+    rows = fair.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("bits").alias("mean"), F.stddev_pop("bits").alias("spread")).collect()
+    return {r.lang: r.mean + SPREADS * r.spread for r in rows if r.n >= LEAST_ROWS}
+
+
 def identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", capacity: int = CAPACITY) -> DataFrame:
-    """The rows of docs whose text gets a language, with all their columns; the model learns from the rows that name one."""
-    train = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    model = fit(train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), capacity)
+    """The rows of docs with a letter whose text is not far from the language it is given, with all their columns.
+
+    The model learns from the rows that name a language. A text goes if its code is longer than the bound of its language
+    a byte, and ALLOWANCE bits. Without a bound, or any row to learn from, only texts without a letter go.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    train = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    model = fit(train, capacity)
+    if model.empty:
+        return docs.filter(text.rlike(r"\p{L}"))
+    limits = bounds(train, capacity)
     found = predict(docs, model, text_col)
     added = found.columns[len(docs.columns) :]
-    return found.filter(F.col(added[0]) != "und").drop(*added)
+    lang, bits, size = F.col(added[0]), F.col(added[2]), F.octet_length(text)
+    keep = lang != "und"
+    for name, most in limits.items():
+        keep &= (lang != name) | (bits * size <= most * size + ALLOWANCE)
+    return found.filter(keep).drop(*added)

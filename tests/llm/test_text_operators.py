@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, common, decontam, langid, neardup, urls
 
@@ -198,6 +199,19 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.find(D.limit(0), B).collect() == [] and decontam.find(D, B.limit(0)).collect() == []
 
 
+def test_code_lengths_decide_and_nothing_is_lost_without_languages(spark):
+    rng = np.random.default_rng(8)
+    known = {"x": "the cat sat on a mat with some hat and then ran off".split(), "y": "le chien est sur une table avec du pain et dort".split()}
+    text = lambda lang: " ".join(rng.choice(known[lang], 30))
+    rows = [(i, text("xy"[i % 2]), "xy"[i % 2]) for i in range(800)] + [(1000, text("x"), None), (1001, "cat", None), (1002, "kz", "x")]
+    rows += [(2000, "".join(rng.choice(list("bcdfghjklmnpqrstvwxyz"), 300)), None), (2001, "жшщюэ" * 40, None), (2002, "12 34", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.identified(docs).collect()} == {*range(800), 1000, 1001, 1002}
+    unnamed = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in langid.identified(unnamed).collect()} == {*range(800), 1000, 1001, 1002, 2000, 2001}
+    assert {r.doc_id for r in langid.identified(docs.filter("doc_id < 40 OR doc_id >= 1000")).collect()} == {*range(40), 1000, 1001, 1002, 2000, 2001}
+
+
 @pytest.mark.parametrize("percent,small", [(85, False), (80, False), (85, True)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, percent, small):
     if small:  # many blocks a cluster
