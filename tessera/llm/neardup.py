@@ -5,8 +5,10 @@ lower-casing A-Z; with fewer words the whole sequence is one shingle), as 64-bit
 
 1. Signatures: under each of 176 permutations both the minimum and the maximum of the set are
    kept, so 352 values cost 176 hash evaluations a shingle. They are cut into 44 bands; the
-   rows a band are the most for which a pair at the threshold misses all bands with a
-   probability of at most 2e-6.
+   rows a band are the most for which a large pair at the threshold misses all bands with a
+   probability of at most 2e-6. Minimum and maximum of a small set agree together less often,
+   as they are drawn without replacement; sets small enough to miss that bound get 44 more
+   bands of fewer rows, which keep it (`small_bands`).
 2. Documents with equal sets form a class, with one representative.
 3. Representatives that share a band key are tied to the smallest id under that key; connected
    ties are a candidate cluster (no pair list is made, whatever the size of a bucket).
@@ -36,6 +38,7 @@ from .components import components
 PERMUTATIONS, BANDS, MISS = 176, 44, 2e-6
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 500_000
 HOT_SHARE = 2000
+UNIONS = 10_000
 BLOOM_BITS = 1 << 27
 
 
@@ -44,6 +47,24 @@ def rows_a_band(threshold: float) -> int:
     return max(r for r in range(1, 9) if r == 1 or (1 - threshold**r) ** BANDS <= MISS)
 
 
+def missed(percent: int, rows: int, union: np.ndarray) -> np.ndarray:
+    """The probability that two sets at the threshold, with so many shingles in their union, share no band."""
+    shared = -(-percent * union // 100)
+    one = shared / union
+    both = one * np.where(union > 1, (shared - 1) / np.maximum(union - 1, 1), 1)
+    return (1 - both ** (rows // 2) * one ** (rows % 2)) ** BANDS
+
+
+def small_bands(percent: int) -> tuple[int, int]:
+    """(size, rows): sets of at most `size` shingles need bands of `rows` as well (size 0: no set does)."""
+    union = np.arange(1, UNIONS + 1)
+    over = union[missed(percent, rows_a_band(percent / 100), union) > MISS]
+    if not len(over):
+        return 0, 0
+    fair = [r for r in range(1, rows_a_band(percent / 100)) if (missed(percent, r, union[: over[-1]]) <= MISS).all()]
+    return int(over[-1]), max(fair, default=1)
+
+
 def min_max(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Minimum and maximum under each permutation for each run of values: one row a set, 2 * PERMUTATIONS columns."""
     rng = np.random.default_rng(77)
@@ -76,8 +97,10 @@ def sets_of(batch_column: pa.Array) -> list[np.ndarray]:
     return [np.unique(s[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
 
 
-def signatures(docs: DataFrame, rows: int) -> DataFrame:
+def signatures(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n_shingles, print, bands); print (128 bits of the set) and bands are null for an empty set."""
+    rows, (size, fewer) = rows_a_band(percent / 100), small_bands(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "text") if whole.num_rows else []:
@@ -88,9 +111,13 @@ def signatures(docs: DataFrame, rows: int) -> DataFrame:
                 bands = [None] * len(sets)
                 if len(full):
                     starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-                    keys = band_keys(min_max(np.concatenate([sets[i] for i in full]), starts), rows).view(np.int64)
-                    for i, row in zip(full, keys):
+                    values = min_max(np.concatenate([sets[i] for i in full]), starts)
+                    for i, row in zip(full, band_keys(values, rows).view(np.int64)):
                         bands[i] = row
+                    small = n[full] <= size
+                    if small.any():
+                        for i, row in zip(full[small], band_keys(values[small], fewer).view(np.int64)):
+                            bands[i] = np.concatenate([bands[i], row])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "bands"])
 
     return arrow_map(docs, run, "doc_id long, n_shingles long, print binary, bands array<long>")
@@ -189,7 +216,7 @@ def verified(docs: DataFrame, found: DataFrame, sizes: DataFrame, percent: int)
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept (the smallest id of each component)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(signatures(docs, rows_a_band(percent / 100)), "signatures")
+    signed = stored(signatures(docs, percent), "signatures")
     classes = stored(signed.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
     reps = classes.filter("rep IS NOT NULL")
     found = stored(clusters(reps.select("rep", "bands")), "clusters")

@@ -256,6 +256,28 @@ def test_banding_misses_almost_nothing():
         assert (1 - t**r) ** neardup.BANDS <= neardup.MISS and r >= 6
 
 
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_small_pairs_keep_the_bound(percent):
+    rng = np.random.default_rng(4)
+    size, fewer = neardup.small_bands(percent)
+    union = np.arange(1, neardup.UNIONS)
+    full = neardup.missed(percent, neardup.rows_a_band(percent / 100), union)
+    assert (np.where(union <= size, neardup.missed(percent, fewer, union), full) <= neardup.MISS).all()
+    if percent == 80:
+        pairs, lost, lost_before = 200_000, 0, 0
+        for _ in range(10):
+            m = pairs // 10
+            sets = np.sort(common.mix(rng.integers(0, 2**63, 5 * m, dtype=np.uint64)).reshape(m, 5), axis=1)
+            both = np.concatenate([sets, sets[:, 1:]], axis=1).ravel()
+            values = neardup.min_max(both, np.sort(np.concatenate([np.arange(m) * 9, np.arange(m) * 9 + 5])))
+            for rows, small in ((fewer, True), (neardup.rows_a_band(0.8), False)):
+                keys = neardup.band_keys(values, rows)
+                none = (keys[::2] != keys[1::2]).all(axis=1).sum()
+                lost += none if small else 0
+                lost_before += 0 if small else none
+        assert lost <= 2 and lost_before > lost
+
+
 def test_min_max_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     a = np.unique(common.mix(rng.integers(0, 2**63, 1000, dtype=np.uint64)))
