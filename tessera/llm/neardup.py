@@ -18,8 +18,9 @@ lower-casing A-Z; with fewer words the whole sequence is one shingle), as 64-bit
    completely; the cost of a very large one shows as more blocks.
 5. Components of the forests, carried back through the classes.
 
-Null and empty texts have no set: they link with nothing. Rows that share an id are one node.
-Repeated rows are each returned. An empty table gives no rows.
+Null and empty texts have no set: they link with nothing. A node is a set with its smallest id,
+so rows that share an id but differ in text are grouped each by its own text. Repeated rows are
+each returned. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,8 +98,13 @@ def sets_of(batch_column: pa.Array) -> list[np.ndarray]:
     return [np.unique(s[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
 
 
+def print_of(shingles_: np.ndarray) -> bytes | None:
+    """128 bits of a set, null for an empty one."""
+    return hashlib.blake2b(shingles_.tobytes(), digest_size=16).digest() if len(shingles_) else None
+
+
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, print, bands); print (128 bits of the set) and bands are null for an empty set."""
+    """(doc_id, key, n_shingles, print, bands) of (doc_id, text, key); print (128 bits of the set) and bands are null for an empty set."""
     rows, (size, fewer) = rows_a_band(percent / 100), small_bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +113,7 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
                 sets = sets_of(b.column(1))
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
-                prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                prints = [print_of(s) for s in sets]
                 bands = [None] * len(sets)
                 if len(full):
                     starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
@@ -118,16 +124,16 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
                     if small.any():
                         for i, row in zip(full[small], band_keys(values[small], fewer).view(np.int64)):
                             bands[i] = np.concatenate([bands[i], row])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "print", "bands"])
 
-    return arrow_map(docs, run, "doc_id long, n_shingles long, print binary, bands array<long>")
+    return arrow_map(docs, run, "doc_id long, key string, n_shingles long, print binary, bands array<long>")
 
 
 def clusters(reps: DataFrame) -> DataFrame:
-    """(id, component) of the candidate clusters among (rep, bands): ties to the smallest id under each band key."""
-    entries = reps.select("rep", F.explode("bands").alias("key"))
-    pivots = entries.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last").drop("last")
-    return components(entries.join(pivots, "key").filter("rep <> pivot").select("rep", "pivot"), "rep", "pivot")
+    """(id, component) of the candidate clusters among (node, bands): ties to the smallest node under each band key."""
+    entries = reps.select("node", F.explode("bands").alias("key"))
+    pivots = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last")
+    return components(entries.join(pivots, "key").filter("node <> pivot").select("node", "pivot"), "node", "pivot")
 
 
 def bloom(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -143,7 +149,7 @@ def bloom(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def sets_for(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(doc_id, shingles binary) for documents whose id the Bloom filter over `ids` lets through."""
+    """(doc_id, print, shingles binary) for documents whose id the Bloom filter over `ids` lets through."""
     words_of, bits = bloom(ids, n)
     sent = send(docs.sparkSession, words_of)
 
@@ -156,9 +162,10 @@ def sets_for(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 keep &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
             whole = whole.filter(pa.array(keep))
             for b in pieces(whole, "text") if whole.num_rows else []:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(b.column(1))], pa.binary())], ["doc_id", "shingles"])
+                sets = sets_of(b.column(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([print_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "print", "shingles"])
 
-    return arrow_map(docs.withColumn("h", F.xxhash64("doc_id")).filter("doc_id IS NOT NULL"), run, "doc_id long, shingles binary")
+    return arrow_map(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).filter("doc_id IS NOT NULL"), run, "doc_id long, print binary, shingles binary")
 
 
 def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,12 +201,13 @@ def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.nda
     return ids[linked], ids[root[linked]]
 
 
-def verified(docs: DataFrame, found: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within the candidate clusters `found` (id, component), compared on full sets."""
-    facts = found.join(sizes, "id").groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("total"))
+def verified(docs: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within the candidate clusters `found` (id, component) of the nodes of `reps`, compared on full sets."""
+    found = found.join(reps.select(F.col("node").alias("id"), "rep", "print", "n_shingles"), "id")
+    facts = found.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("total"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     nodes = stored(found.join(facts.select("component", blocks.alias("blocks")), "component").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int")), "nodes")
-    full = sets_for(docs, nodes, nodes.count()).join(nodes, F.col("doc_id") == F.col("id"))
+    full = sets_for(docs, nodes.select(F.col("rep").alias("id")), nodes.count()).join(nodes.withColumnRenamed("rep", "doc_id"), ["doc_id", "print"])
     meet = full.select("id", "shingles", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     meet = meet.select("id", "shingles", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -213,29 +221,39 @@ def verified(docs: DataFrame, found: DataFrame, sizes: DataFrame, percent: int)
     return meet.groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept (the smallest id of each component)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """One row a document of (doc_id, text, key): doc_id, key, n_shingles, component_id, kept."""
     signed = stored(signatures(docs, percent), "signatures")
-    classes = stored(signed.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
+    classes = signed.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # the number is fixed once stored
     reps = classes.filter("rep IS NOT NULL")
-    found = stored(clusters(reps.select("rep", "bands")), "clusters")
-    sizes = reps.groupBy(F.col("rep").alias("id")).agg(F.max("n_shingles").alias("n_shingles"))
-    linked = components(verified(docs, found, sizes, percent))
-    known = classes.select("print", "rep", "size").join(linked.withColumnRenamed("id", "rep"), "rep", "left").withColumn("to", F.coalesce("component", "rep")).filter("size > 1 OR to <> rep").select("print", "to", "size")
+    found = stored(clusters(reps.select("node", "bands")), "clusters")
+    linked = components(verified(docs, found, reps, percent)).withColumnRenamed("id", "node").join(reps.select("node", "rep"), "node")
+    linked = stored(linked, "linked")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "component").select("node", "least")
+    known = classes.select("print", "rep", "size", "node").join(linked, "node", "left").withColumn("to", F.coalesce("least", "rep")).filter("size > 1 OR to <> rep").select("print", "to", "size")
     known = stored(known, "known")
-    rows = signed.select("doc_id", "n_shingles", "print")
+    rows = signed.select("doc_id", "key", "n_shingles", "print")
     limit = max(100, rows.count() // HOT_SHARE)
     hot = F.broadcast(known.filter(F.col("size") > limit))  # fewer than HOT_SHARE classes
     some = rows.join(hot, "print")
     rest = rows.join(hot.select("print"), "print", "left_anti").join(known.filter(F.col("size") <= limit).hint("merge"), "print", "left")
     end = F.coalesce("to", "doc_id")
-    return some.unionByName(rest).select("doc_id", "n_shingles", end.alias("component_id"), F.col("doc_id").eqNullSafe(end).alias("kept"))
+    return some.unionByName(rest).select("doc_id", "key", "n_shingles", end.alias("component_id"), F.col("doc_id").eqNullSafe(end).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept (the smallest id of each component)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit("").alias("key"))
+    return grouped(docs, percent).drop("key")
 
 
 def distinct_documents(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of docs whose id is the smallest of its near-duplicate group, with all their columns."""
-    name = unused("gone_id", docs.columns)
-    gone = stored(near_duplicates(docs, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    """The rows of docs whose id is the smallest of their text's near-duplicate group, with all their columns."""
+    name, text = unused("gone_id", docs.columns), unused("gone_text", docs.columns)
+    key = F.md5(docs[text_col].cast("string").cast("binary"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), key.alias("key"))
+    gone = stored(grouped(rows, percent).filter("NOT kept").select(F.col("doc_id").alias(name), F.col("key").alias(text)).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone.hint("merge")
-    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
+    return docs.join(gone, (docs[id_col].cast("long") == gone[name]) & (key == gone[text]), "left_anti")

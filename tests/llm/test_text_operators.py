@@ -250,6 +250,16 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, percent, small):
     assert neardup.near_duplicates(D.limit(0)).collect() == []
 
 
+def test_an_id_on_two_texts_loses_neither_links_nor_rows(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(5, text("a")), (7, text("a") + " end"), (5, text("b")), (8, text("b") + " end"), (5, text("c")), (2, text("c") + " end"), (5, text("d")), (None, text("e")), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 80).collect()}
+    assert got == {(5, 56, 5, True), (7, 57, 5, False), (8, 57, 5, False), (5, 56, 2, False), (2, 57, 2, True), (None, 56, None, True), (5, 0, 5, True)}
+    kept = [tuple(r) for r in neardup.distinct_documents(docs, 80).collect()]
+    assert sorted(kept, key=str) == sorted([(5, text("a")), (5, text("b")), (2, text("c") + " end"), (5, text("d")), (None, text("e")), (5, None)], key=str)
+
+
 def test_banding_misses_almost_nothing():
     for t in (0.8, 0.85, 0.9):
         r = neardup.rows_a_band(t)
