@@ -3,7 +3,7 @@
 The corpus is read once: a task multiplies its batches with the query matrix and keeps each
 query's k best, so at most queries * k rows a task are shuffled. Query vectors are sent to the
 workers in blocks of at most BLOCK_QUERIES. Scores are compared at nine places; ties go to the
-smaller id. Null or zero vectors are never found.
+smaller id. Null or zero vectors are never found, nor is a vector by a query of another width.
 """
 
 from __future__ import annotations
@@ -18,15 +18,17 @@ from pyspark.sql import functions as F
 BLOCK_QUERIES = 4096
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrices(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width of the vectors: their places in the column, and the vectors at length one as a matrix."""
     rows = column.to_pylist()
-    width = max((len(r) for r in rows if r), default=0)
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        if r:
-            out[i, : len(r)] = r
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+    widths = np.array([len(r or []) for r in rows], np.int64)
+    found = {}
+    for width in np.unique(widths[widths > 0]).tolist():
+        at = np.flatnonzero(widths == width)
+        out = np.array([rows[i] for i in at], np.float64)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        found[width] = at, np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+    return found
 
 
 def top(queries: DataFrame, corpus: DataFrame, k: int = 10, qid: str = "qid", id_col: str = "vec_id", vector: str = "embedding", group: str | None = None, same_group: bool = False) -> DataFrame:
@@ -49,21 +51,21 @@ def top(queries: DataFrame, corpus: DataFrame, k: int = 10, qid: str = "qid", id
             names = [q for q, _, _ in sent.value]
             if not names:
                 return
-            matrix = _matrix(pa.array([v for _, v, _ in sent.value], pa.list_(pa.float64())))
+            asked = _matrices(pa.array([v for _, v, _ in sent.value], pa.list_(pa.float64())))
             groups = np.array([g for _, _, g in sent.value], object)
             best: list[np.ndarray] = [np.empty((0, 2)) for _ in names]
             for b in batches:
                 if not b.num_rows:
                     continue
-                m = _matrix(b.column(1))
-                if m.shape[1] != matrix.shape[1]:
-                    continue
                 ids = b.column(0).to_numpy(zero_copy_only=False)
-                score = np.round(m @ matrix.T, 9)
-                dead = ~m.any(axis=1)
+                score = np.full((b.num_rows, len(names)), -np.inf)
+                for width, (at, m) in _matrices(b.column(1)).items():
+                    if width in asked:
+                        queries_at, matrix = asked[width]
+                        score[np.ix_(at, queries_at)] = np.where(m.any(axis=1)[:, None], np.round(m @ matrix.T, 9), -np.inf)
                 own = np.array(b.column(2).to_pylist(), object)
                 for j in range(len(names)):
-                    s = np.where(dead | (own != groups[j]) if same_group else dead, -np.inf, score[:, j])
+                    s = np.where(own != groups[j], -np.inf, score[:, j]) if same_group else score[:, j]
                     order = np.lexsort((ids, -s))[:k]
                     both = np.concatenate([best[j], np.column_stack([s[order], ids[order]])])
                     best[j] = both[np.lexsort((both[:, 1], -both[:, 0]))[:k]]

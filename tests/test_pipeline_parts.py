@@ -233,3 +233,13 @@ def test_chunking_experiments_and_group_ranks(spark):
     gold = spark.createDataFrame([(1, 3), (1, 9)], "qid long, doc_id long")
     got = [(r.doc_id, r.group_rank) for r in metrics.within_group_ranks(scores, gold, groups, "doc_id", "g").collect()]
     assert got == [(3, 2)]
+
+
+def test_vectors_of_another_width_hide_no_others(spark):
+    from tessera.operators import dense
+
+    corpus = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, 1.0, 1.0], 0), (4, None, 0), (5, [0.0, 0.0], 0)], "vec_id long, embedding array<double>, label long").coalesce(1)
+    queries = spark.createDataFrame([(10, [1.0, 0.1], 0), (11, [1.0, 0.0, 0.0], 0), (12, [1.0, 0.0, 0.0, 0.0], 0), (13, None, 0)], "qid long, embedding array<double>, label long")
+    for grouped in (False, True):
+        got = dense.top(queries, corpus, 5, group="label", same_group=grouped)
+        assert sorted((r.qid, r["rank"], r.vec_id) for r in got.collect()) == [(10, 1, 1), (10, 2, 2), (11, 1, 3)]
