@@ -37,6 +37,15 @@ def test_history_holds_winners_of_earlier_batches(spark):
     assert got == {3: (3, 2, True), 4: (4, 1, True)}
 
 
+def test_a_history_that_names_a_digest_twice(spark):
+    batch = lambda rows: exactdup.registry(exactdup.digests(spark.createDataFrame(rows, "doc_id long, text string")))
+    history = batch([(1, "a"), (2, "b")]).unionByName(batch([(7, "A"), (None, "c")])).unionByName(batch([(None, "C")]))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exactdup.exact_dedup(spark.createDataFrame([(5, "a"), (4, "c")], "doc_id long, text string"), history).collect()}
+    assert got == {5: (7, 3, False), 4: (4, 3, True)}
+    with pytest.raises(ValueError, match="distinct"):
+        exactdup.PerfectHash(np.array([[1, 2], [3, 4], [1, 2]], np.uint64))
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert exactdup.exact_dedup(empty).collect() == []
@@ -102,4 +111,4 @@ def test_one_more_shard_moves_few_rows(spark):
     a = {r.doc_id: r.shard for r in sharding.shard_documents(docs, 8).collect()}
     b = {r.doc_id: r.shard for r in sharding.shard_documents(docs, 9).collect()}
     moved = sum(a[i] != b[i] for i in a) / 4000
-    assert moved < 0.4  # dealing by modulo moves 8/9 of them
+    assert moved < 0.15  # a ninth has to move; dealing by modulo moves 8/9
