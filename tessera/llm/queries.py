@@ -70,7 +70,8 @@ QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_decontamination, op3_cha
 # Words as the operators take them: lower-cased A-Z, split at \x20 and \x09 to \x0D.
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), lambda w: w <> '')"
 _SHINGLES = "CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END"
-
+# All distinct runs of w words; an item of fewer than five words is searched at its own width.
+_RUNS = "list_distinct(list_transform(range(1, len(ws) - w + 2), lambda i: array_to_string(ws[i:i + w - 1], ' ')))"
 
 
 def _url_sql() -> str:
@@ -101,11 +102,11 @@ ORACLE_SQL = {
     "op4_url_filter": _url_sql(),
     "op2_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-ds AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM d),
-b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
-bs AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM b),
+b AS (SELECT item_id, ws, least(len(ws), 5) AS w FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+ds AS (SELECT doc_id, w, unnest({_RUNS}) AS s FROM d, (SELECT DISTINCT w FROM b) WHERE len(ws) >= w),
+bs AS (SELECT item_id, w, unnest({_RUNS}) AS s FROM b),
 n AS (SELECT item_id, count(*) AS n_item_shingles FROM bs GROUP BY item_id),
-hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (w, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_item_shingles, n_shared, round(n_shared / n_item_shingles, 6) AS containment
 FROM hits JOIN n USING (item_id) WHERE n_shared * 10 >= n_item_shingles * 8""",
     "op3_chat_format": r"""

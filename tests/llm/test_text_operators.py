@@ -199,6 +199,37 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.find(D.limit(0), B).collect() == [] and decontam.find(D, B.limit(0)).collect() == []
 
 
+def test_repeated_passages_and_equal_items_stay_small(monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(40))
+    items = [(i, passage) for i in range(2000)] + [(5000 + i, passage + f" tail{i} more{i}") for i in range(300)]
+    index = decontam.Index(decontam.item_sets(items), 0.8)
+    assert len(index.sizes) == 301 and len(index.ids[0]) == 2000
+    text = pa.array([(passage + " x ") * 200, passage, "nothing here"])
+    h, _, _, at = common.words(*common.flat(text))
+    plain = index.search(h, at)
+    monkeypatch.setattr(decontam, "HITS", 7)
+    seen = []
+    unique = np.unique
+    monkeypatch.setattr(decontam.np, "unique", lambda x, **k: (seen.append(len(x)), unique(x, **k))[1])
+    small = index.search(h, at)
+    assert all((a == b).all() for a, b in zip(plain, small)) and set(small[0]) == {0, 1} and len(small[0]) == 602
+    assert max(seen) < 2000
+
+
+def test_decontamination_sql_finds_items_of_few_words(spark):
+    import duckdb
+
+    from tessera.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM VALUES (1, 'a W1 w2  w3 b c d'), (2, 'w2 w1'), (3, NULL), (4, 'a b c d e f') t(doc_id, text)")
+    con.execute("CREATE TABLE benchmark AS SELECT * FROM VALUES (1, 'w1 w2 w3'), (2, 'A b c d e f'), (3, ''), (4, 'w1'), (5, NULL) t(item_id, text)")
+    want = sorted(con.execute(queries.ORACLE_SQL["op2_decontamination"]).fetchall())
+    D = spark.createDataFrame(con.execute("FROM documents").fetchall(), "doc_id long, text string")
+    B = spark.createDataFrame(con.execute("FROM benchmark").fetchall(), "item_id long, text string")
+    assert sorted(map(tuple, decontam.find(D, B).collect())) == want == [(1, 1, 1, 1, 1.0), (1, 4, 1, 1, 1.0), (2, 4, 1, 1, 1.0), (4, 2, 2, 2, 1.0)]
+
+
 def test_code_lengths_decide_and_nothing_is_lost_without_languages(spark):
     rng = np.random.default_rng(8)
     known = {"x": "the cat sat on a mat with some hat and then ran off".split(), "y": "le chien est sur une table avec du pain et dort".split()}
