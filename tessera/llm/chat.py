@@ -7,6 +7,11 @@ turns of one role share a block; each block is <|im_start|>role, a line break, i
 (roles also write a line break as `\\n`). The loss mask lists runs of characters: control run
 and text run in turn, 2 n + 1 for n turns; text runs of the assistant carry the loss.
 
+Reading back splits the output at its control strings into the same runs and compares every one
+with the mask, control runs too, and their sum with the output's length. The runs are then the
+pieces that the mask's offsets cut, found in one pass (cutting each by its offset would read the
+output from its start for every turn). A mask that does not fit gives no loss text (null).
+
 Nulls: a null text or role is empty, a null conv_id is a conversation of its own, a null turn
 sorts first. Repeated rows stay repeated turns. No rows give no conversations.
 """
@@ -73,22 +78,27 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
-    """The turns and the text under the loss mask, read back: conv_id, turns array<struct<role, text>>, loss_text, mask_fits."""
+    """The turns and the text under the loss mask, read back: conv_id, turns array<struct<role, text>>, loss_text (null unless the mask fits), mask_fits."""
     blocks = F.transform(
         F.filter(F.split("formatted", r"<\|im_start\|>", -1), lambda b: b != ""),
         lambda b: F.struct(F.substring_index(b, "\n", 1).alias("role"), F.split(F.regexp_replace(F.regexp_replace(b, r"\A[^\n]*\n", ""), r"<\|im_end\|>\n\z", ""), r"<\|im_sep\|>", -1).alias("texts")),
     )
     turns = F.flatten(F.transform(blocks, lambda b: F.transform(b["texts"], lambda t: F.struct(b["role"].alias("role"), t.alias("text")))))
-    runs = F.filter("loss_mask", lambda _, i: i % 2 == 1)
-    out = formatted.withColumn("raw", turns).withColumn("runs", runs)
-    masked = F.filter(F.zip_with("raw", "runs", lambda t, r: F.struct(t["text"].alias("text"), r["loss"].alias("loss"))), lambda x: x["loss"])
-    fits = F.forall(F.zip_with("raw", "runs", lambda t, r: F.length(t["text"]).eqNullSafe(r["chars"])), lambda x: x)
+    last = len(END) + 1
+    first = lambda b, i: F.length(b["role"]) + F.when(i == 0, 0).otherwise(last) + len(START) + 1
+    control = F.flatten(F.transform(blocks, lambda b, i: F.transform(b["texts"], lambda t, j: F.when(j == 0, first(b, i)).otherwise(len(SEP)))))
+    out = formatted.withColumn("raw", turns).withColumn("control", control)
+    out = out.withColumn("cut", F.concat(F.flatten(F.zip_with("control", "raw", lambda c, t: F.array(c, F.length(t["text"])))), F.array(F.lit(last))))
+    masked = F.filter(F.transform("raw", lambda t, i: F.struct(t["text"].alias("text"), F.get("loss_mask", 2 * i + 1)["loss"].alias("loss"))), lambda x: x["loss"])
+    total = F.aggregate("loss_mask", F.lit(0).cast("long"), lambda n, r: n + r["chars"])
+    fits = F.forall(F.zip_with("cut", "loss_mask", lambda n, r: n.cast("long").eqNullSafe(r["chars"])), lambda x: x) & (total == F.length("formatted"))
+    fits &= F.size(F.filter("loss_mask", lambda r, i: r["loss"] & (i % 2 == 0))) == 0
     return out.select(
         "conv_id",
         "formatted",
         "n_blocks",
         F.transform("raw", lambda t: F.struct(unescape_role(t["role"]).alias("role"), unescape(t["text"]).alias("text"))).alias("turns"),
-        F.array_join(F.transform(masked, lambda x: unescape(x["text"])), "").alias("loss_text"),
+        F.when(fits, F.array_join(F.transform(masked, lambda x: unescape(x["text"])), "")).alias("loss_text"),
         fits.alias("mask_fits"),
     )
 

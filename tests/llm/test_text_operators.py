@@ -52,6 +52,20 @@ def test_chat_reads_back_every_turn(spark):
     assert chat.chat_digests(rows.limit(0)).collect() == []
 
 
+def test_a_wrong_mask_is_seen(spark):
+    rows = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")
+    done = chat.format_chat(rows).filter("conv_id = 1")
+    mask = done.first().loss_mask
+    assert sum(r.chars for r in mask) == len(done.first().formatted)
+    for at in range(len(mask)):  # any run too long, also with its neighbour shortened
+        for change in ({at: 1}, {at: 1, (at + 1) % len(mask): -1}):
+            wrong = F.transform("loss_mask", lambda r, i: F.struct((r["chars"] + sum(F.when(i == k, d).otherwise(0) for k, d in change.items())).cast("long").alias("chars"), r["loss"].alias("loss")))  # noqa: B023
+            back = chat.read_chat(done.withColumn("loss_mask", wrong)).first()
+            assert back.loss_text is None and not back.mask_fits
+    swapped = F.transform("loss_mask", lambda r: F.struct(r["chars"].alias("chars"), (~r["loss"]).alias("loss")))
+    assert not chat.read_chat(done.withColumn("loss_mask", swapped)).first().mask_fits
+
+
 def test_url_rules_and_parts(spark):
     cases = {
         "http://a.COM/en/1?x": ("a.com", "/en/1", "com/en/", "block"),
