@@ -7,8 +7,11 @@ characters is the score. The threshold comes from held-out rule URLs: the point
 class means, weighted by their spreads. All of it is DataFrame expressions: n-grams are
 exploded, counted with partial aggregation and joined back by gram.
 
-Characters outside a-z, 0-9 and .-/_%~ count as one class, so there are at most 45**4 grams of
-4; the gram table is broadcast only while it is small, else it meets the grams by a shuffle.
+Characters outside a-z, 0-9 and .-/_%~ count as one class, so there are 45 of them with the
+marks for start and end, and a gram of 4 is a number below 45**4 (4.1 million). The gram table is
+broadcast whatever the number of URLs: a number and a ratio a gram, 24 bytes a row and 32 in the
+hashed relation, at most 230 MB if every gram there can be occurs (the check data have 10,000).
+A URL's grams are looked up and summed in the task that read it; one row a URL is shuffled.
 
 Null urls, or urls without `://`, have an empty host and path; they are scored as the empty
 string. Without training URLs of both classes every undecided URL is allowed. Repeated rows
@@ -24,7 +27,7 @@ from .common import LOWER, UPPER, stored
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 ORDER = 4
-BROADCAST_GRAMS = 200_000
+ALPHABET = "^$*abcdefghijklmnopqrstuvwxyz0123456789.-/_%~"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -46,13 +49,12 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def grams(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A row (keys, gram) for each character of host + path and the end mark, with up to ORDER - 1 characters before it."""
+    """A row (keys, gram) for each character of host + path and the end mark, with the ORDER - 1 characters before it, as a number to the base of the alphabet."""
     text = F.concat(F.lit("^" * (ORDER - 1)), F.regexp_replace(F.concat("host", "path"), r"[^a-z0-9.\-/_%~]", "*"), F.lit("$"))
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    listed = rows.withColumn("chars", chars)
-    at = lambda i, j: F.get("chars", i + j)
-    slots = F.transform(F.sequence(F.lit(0), F.size("chars") - ORDER), lambda i: F.concat(*[at(i, j) for j in range(ORDER)]))
-    return listed.select(*keys, F.explode(slots).alias("gram"))
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    listed = rows.withColumn("codes", codes)
+    number = lambda i: sum((F.get("codes", i + j) * len(ALPHABET) ** (ORDER - 1 - j) for j in range(1, ORDER)), F.get("codes", i) * len(ALPHABET) ** (ORDER - 1))
+    return listed.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.size("codes") - ORDER), number)).alias("gram"))
 
 
 def gram_model(counted: DataFrame) -> DataFrame:
@@ -60,18 +62,17 @@ def gram_model(counted: DataFrame) -> DataFrame:
 
     `counted` has a row for each gram of all URLs: gram, a and r (its training counts, 0 if unseen).
     """
-    classes = ("a", "r")
-    vocabulary = 45.0
+    classes, base = ("a", "r"), len(ALPHABET)
     out = None
-    for k in range(1, ORDER + 1):
-        own = counted.groupBy(F.substr("gram", F.lit(ORDER - k + 1)).alias("g")).agg(*[F.sum(c).alias(c) for c in classes])
-        own = own.withColumn("ctx", F.substring("g", 1, k - 1))
+    for k in range(1, ORDER + 1):  # the last k characters of a gram, the k - 1 before the last as their context
+        own = counted.groupBy((F.col("gram") % base**k).alias("g")).agg(*[F.sum(c).alias(c) for c in classes])
+        own = own.withColumn("ctx", F.floor(F.col("g") / base).cast("int"))
         sums = own.groupBy("ctx").agg(*[F.sum(c).alias(f"n_{c}") for c in classes], *[F.count_if(F.col(c) > 0).alias(f"t_{c}") for c in classes])
         own = own.join(sums, "ctx")
         if out is None:
-            own = own.select("g", *classes, "n_a", "t_a", "n_r", "t_r", *[F.lit(1 / vocabulary).alias(f"q_{c}") for c in classes])
+            own = own.select("g", *classes, "n_a", "t_a", "n_r", "t_r", *[F.lit(1 / base).alias(f"q_{c}") for c in classes])
         else:
-            own = own.withColumn("low", F.substr("g", F.lit(2))).join(out.withColumnRenamed("g", "low"), "low")
+            own = own.withColumn("low", F.col("g") % base ** (k - 1)).join(out.withColumnRenamed("g", "low"), "low")
         p = lambda c: F.when(F.col(f"n_{c}") == 0, F.col(f"q_{c}")).otherwise((F.col(c) + F.col(f"t_{c}") * F.col(f"q_{c}")) / (F.col(f"n_{c}") + F.col(f"t_{c}")))
         out = own.select("g", *[p(c).alias(f"q_{c}") for c in classes])
     return out.select(F.col("g").alias("gram"), (F.log("q_a") - F.log("q_r")).alias("ratio"))
@@ -87,13 +88,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
     rows = rows.withColumn("use", F.when(F.col("said").isNull(), "none").when(fold, "tune").when(F.col("said") == "allow", "a").otherwise("r"))
     counted = stored(grams(rows, ["use"]).groupBy("gram").agg(F.count_if(F.col("use") == "a").alias("a"), F.count_if(F.col("use") == "r").alias("r")), "grams")
     model = stored(gram_model(counted), "gram-model")
-    if model.count() <= BROADCAST_GRAMS:
-        model = F.broadcast(model)
     keys = ["page_id", "host", "path", "rule", "said", "use"]
     # the grams of a row are summed in the task that made them; `copies` counts the rows that repeat all keys
     scored = (
         grams(rows.withColumn("chars_n", F.length(F.concat("host", "path")) + 1), [*keys, "chars_n"])
-        .join(model, "gram", "left")
+        .join(F.broadcast(model), "gram", "left")  # at most 45**4 rows of two numbers
         .groupBy(*keys, "chars_n")
         .agg(F.avg(F.coalesce("ratio", F.lit(0.0))).alias("score"), F.count(F.lit(1)).alias("n"))
     )
