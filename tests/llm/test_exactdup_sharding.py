@@ -87,6 +87,37 @@ def test_shards_with_nulls_and_repeated_ids(spark):
     assert {r["size"] for r in got if r.doc_id is None} == {1} and [r["size"] for r in got if r.doc_id == 2] == [3]
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_shards_do_not_depend_on_the_order_of_rows(spark, monkeypatch, hot):
+    if hot:  # repeated ids make hot cells, repeated rows hot rows
+        monkeypatch.setattr(sharding, "HOT_ROWS", 5)
+        monkeypatch.setattr(sharding, "HOT_CELLS", 40)
+    rows = [(i % 7, "x" * (i % 11)) for i in range(300)] + [(3, "same")] * 100 + [(None, None)] * 30 + [(100 + i, "t") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [sorted(map(str, sharding.shard_documents(d).collect())) for d in (docs.coalesce(1), docs.repartition(5).orderBy("text"), docs.orderBy(docs.text.desc()).coalesce(2))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == len(rows)
+
+
+def test_whole_assignment_equals_brute_force(spark):
+    """Every key walks the ring by itself: round by round, in ring order, to the next node whose shard has room."""
+    rows = [(i, f"t{i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    place = {r.doc_id: r.p for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS p").collect()}
+    nodes = sharding.ring(5, 16)
+    arc = {i: sum(p < place[i] for p, _ in nodes) % len(nodes) for i in place}
+    room = [24] * 5
+    where, left = {}, sorted(place, key=lambda i: (arc[i], place[i]))
+    for step in range(len(nodes)):
+        for i in left:
+            s = nodes[(arc[i] + step) % len(nodes)][1]
+            if room[s]:
+                room[s] -= 1
+                where[i] = s
+        left = [i for i in left if i not in where]
+    got = {r.doc_id: r.shard for r in sharding.shard_documents(docs, 5, replicas=16).collect()}
+    assert got == where
+
+
 def test_plan_follows_the_ring_clockwise():
     # brute force: keys of an arc go to its owner, surplus moves on one node a step, in ring order
     rng = np.random.default_rng(1)
