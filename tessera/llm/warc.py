@@ -8,9 +8,11 @@ a response and the others are revisits of it, without the payload.
 
 Index: captures sorted by reversed-host key (com,example,www)/path) and page id are cut into
 compressed blocks; a sparse directory beside each index file has the first key, offset and
-length of its blocks. Reading: sorted keys are dealt by range; a task finds the index file and
-the block by binary search, reads that block's range, finds the captures in it and reads their
-ranges from the archives, file by file in order of offset.
+length of its blocks. Reading: a binary search over the files' first keys deals each key to the
+index files that may hold it (one, but for keys that span files: captures without url and id,
+say, of which each file's share is read by a task of its own); a task finds the block by binary
+search in the directory, reads that block's range, finds the captures in it and reads their
+ranges from the archives, file by file in order of offset. Batches end at BATCH_BYTES.
 
 Payload digests come first as a small table; the table of repeated payloads is broadcast while
 it has at most BROADCAST_ROWS rows, else the pages meet it by a shuffle, apart from hot payloads.
@@ -24,6 +26,7 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import itertools
 import json
 import uuid
 import zlib
@@ -39,6 +42,7 @@ from .common import arrow_map, scratch, send, stored
 BLOCK_LINES = 512
 BROADCAST_ROWS = 100_000
 HOT_SHARE = 2000
+BATCH_BYTES = 4 << 20
 CAPTURE = "key string, page_id long, file string, offset long, length long"
 NO_ID = -(1 << 63)
 
@@ -163,6 +167,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
             block = zlib.compress("\n".join(json.dumps(x) for x in lines).encode(), 6)
             state["out"].write(block)
             directory.append((lines[0][0], lines[0][1], state["offset"], len(block)))
+            state.setdefault("first", lines[0])
             state["offset"] += len(block)
 
         held: list[list] = []
@@ -179,16 +184,16 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
             fs.move(f"{path}/.{name}.idx.part", f"{path}/{name}.idx")
             with fs.open_output_stream(f"{path}/{name}.dir", compression=None) as f:
                 f.write(zlib.compress(json.dumps(directory).encode()))
-            yield pa.RecordBatch.from_pydict({"index": [f"{folder}/{name}.idx"], "directory": [f"{folder}/{name}.dir"], "first_key": [directory[0][0]], "first_id": [directory[0][1]], "blocks": [len(directory)]})
+            yield pa.RecordBatch.from_pydict({"index": [f"{folder}/{name}.idx"], "directory": [f"{folder}/{name}.dir"], "first_key": [directory[0][0]], "first_id": [directory[0][1]], "first_file": [state["first"][2]], "first_offset": [state["first"][3]], "blocks": [len(directory)]})
 
-    return stored(arrow_map(dealt, run, "index string, directory string, first_key string, first_id long, blocks long"), "manifest")
+    return stored(arrow_map(dealt, run, "index string, directory string, first_key string, first_id long, first_file string, first_offset long, blocks long"), "manifest")
 
 
 class Index:
-    """Binary search over index files, their directories and blocks; keeps the directory and block last used."""
+    """Binary search over index files (first key, first id, index, directory; in the order of all captures), their directories and blocks; keeps the directory and block last used."""
 
     def __init__(self, files: list[tuple[str, int, str, str]]):
-        self.files = sorted(files)
+        self.files = files
         self.first = [(k, i) for k, i, _, _ in self.files]
         self.kept: dict[str, object] = {}
 
@@ -202,47 +207,52 @@ class Index:
             self.kept[slot] = (key, make())
         return self.kept[slot][1]
 
-    def captures(self, key: tuple[str, int]) -> Iterator[list]:
-        """All captures of a (key, page id): from the last place that starts below it, onwards while places start at or below it."""
-        for at in range(max(0, bisect.bisect_left(self.first, key) - 1), len(self.files)):
-            if self.first[at] > key:
-                return
-            _, _, index, directory = self.files[at]
-            blocks = self._once("directory", (directory,), lambda: [((k, i), o, n) for k, i, o, n in json.loads(zlib.decompress(self._read(directory)))])
-            starts = self._once("starts", (directory,), lambda: [x[0] for x in blocks])
-            for j in range(max(0, bisect.bisect_left(starts, key) - 1), len(blocks)):
-                if starts[j] > key:
+    def places(self, key: tuple[str, int]) -> range:
+        """The files that may hold a (key, page id): from the last that starts below it, onwards while they start at or below it."""
+        return range(max(0, bisect.bisect_left(self.first, key) - 1), bisect.bisect_right(self.first, key))
+
+    def captures(self, at: int, key: tuple[str, int]) -> Iterator[list]:
+        """The captures of a (key, page id) in one file."""
+        _, _, index, directory = self.files[at]
+        blocks = self._once("directory", (directory,), lambda: [((k, i), o, n) for k, i, o, n in json.loads(zlib.decompress(self._read(directory)))])
+        starts = self._once("starts", (directory,), lambda: [x[0] for x in blocks])
+        for j in range(max(0, bisect.bisect_left(starts, key) - 1), len(blocks)):
+            if starts[j] > key:
+                break
+            _, offset, length = blocks[j]
+            lines = self._once("block", (index, offset), lambda: [json.loads(x) for x in zlib.decompress(self._read(index, offset, length)).split(b"\n")])
+            for k in range(bisect.bisect_left(lines, [*key]), len(lines)):
+                if (lines[k][0], lines[k][1]) != key:
                     break
-                _, offset, length = blocks[j]
-                lines = self._once("block", (index, offset), lambda: [json.loads(x) for x in zlib.decompress(self._read(index, offset, length)).split(b"\n")])
-                for k in range(bisect.bisect_left(lines, [*key]), len(lines)):
-                    if (lines[k][0], lines[k][1]) != key:
-                        break
-                    yield lines[k]
+                yield lines[k]
 
 
 def lookup(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
     """The records of the wanted (url, page_id): page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
-    files = [(r.first_key, r.first_id, r["index"], r.directory) for r in manifest.collect()]  # one row an index file; at most shuffle.partitions
+    rows = sorted(manifest.collect(), key=lambda r: (r.first_key, r.first_id, r.first_file, r.first_offset))  # one row an index file; at most shuffle.partitions
+    files = [(r.first_key, r.first_id, r["index"], r.directory) for r in rows]
     sent = send(wanted.sparkSession, files)
     keyed = wanted.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("long").alias("page_id")).distinct()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(sent())
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([reversed_host(u) for u in b.column(0).to_pylist()], pa.string()), b.column(1)], ["key", "page_id"])
+            found = {(reversed_host(u), i) for u, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+            rows = [(at, k, i) for k, i in found for at in index.places((k, NO_ID if i is None else i))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), (pa.int32(), pa.string(), pa.int64()))], ["file", "key", "page_id"])
 
-    keyed = arrow_map(keyed, keys, "key string, page_id long").distinct()
-    parts = max(len(files), 1)
-    keyed = keyed.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
+    keyed = arrow_map(keyed, keys, "file int, key string, page_id long").distinct()
+    # index files hold about equal numbers of captures, so a file a task is fair whatever the keys
+    keyed = keyed.repartitionById(max(len(files), 1), F.col("file")).sortWithinPartitions("key", "page_id")
+    kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(sent())
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                b = whole.slice(start, 1000)
-                found = [c for k, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for c in index.captures((k, NO_ID if i is None else i))]
-                found.sort(key=lambda c: (c[2], c[3]))
-                rows, name, file = [], None, None
+
+        def records(found: list[list]) -> Iterator[tuple]:
+            found.sort(key=lambda c: (c[2], c[3]))
+            name, file = None, None
+            try:
                 for _, _, uri, offset, length in found:
                     if uri != name:
                         if file is not None:
@@ -250,12 +260,32 @@ def lookup(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
                         fs, path = open_store(uri)
                         name, file = uri, fs.open_input_file(path)
                     r = parse_record(file.read_at(length, offset))
-                    rows.append((r["page_id"], r["url"], r["payload"], r["bytes"], r["digest"], r["type"], r["refers_to"]))
+                    yield r["page_id"], r["url"], r["payload"], r["bytes"], r["digest"], r["type"], r["refers_to"]
+            finally:
                 if file is not None:
                     file.close()
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
+        def packed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for row in rows:
+                held.append(row)
+                size += len(row[2]) + 256
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
+
+        def wanted_captures() -> Iterator[list]:
+            for b in batches:
+                for at, k, i in zip(*[b.column(c).to_pylist() for c in range(3)]):
+                    yield from index.captures(at, (k, NO_ID if i is None else i))
+
+        captures = wanted_captures()
+        while some := list(itertools.islice(captures, 1000)):
+            yield from packed(records(some))
+
+    names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return arrow_map(keyed, run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

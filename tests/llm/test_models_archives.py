@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import quality, spiece, warc
 
@@ -252,6 +253,19 @@ def test_lookup_of_single_captures_and_empty_tables(spark):
     assert warc.archive(pages.limit(0)).collect() == []
 
 
+def test_very_many_captures_of_one_key_are_read_file_by_file(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BATCH_BYTES", 3000)
+    rows = [(None, None, f"payload {i} " * 20) for i in range(400)] + [(i, f"http://h{i}.org/", f"other {i}") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    folder = warc.scratch(spark, "hot")
+    manifest = warc.write_index(warc.write_archives(pages, folder), folder, block_lines=16)
+    assert manifest.filter("first_key = ''").count() > 1  # the hot key spans index files
+    read = warc.lookup(pages.select("url", "page_id"), manifest)
+    tasks = read.filter("page_id IS NULL").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 400
+    assert sorted((str(r.page_id), r.payload.decode()) for r in read.collect()) == sorted((str(i), h) for i, _, h in rows)
+
+
 def test_reversed_host_keys():
     assert warc.reversed_host("HTTP://www.Example.com/A?b#c") == "com,example,www)/A?b"
     assert warc.reversed_host("http://a.b?x/y") == "b,a)?x/y" and warc.reversed_host(None) == "" and warc.reversed_host("x") == ""
