@@ -1,9 +1,10 @@
 """Sampled SentencePiece segmentations, without replacement, and their decoding.
 
-A text is a lattice: a node a byte, an edge a piece. The model's pieces keep to one word (a word
-and the space before it), so the lattice is a chain of word lattices; lattices of equal words in
-a batch are built once (trie walk, backward log sums). Characters without a piece fall back to
-the byte pieces. A piece of rank r has the weight (r + 2) ** -alpha (BPE models store ranks).
+A text is a lattice: a node a byte, an edge a piece. The model's pieces keep to one unit, a run of
+spaces and the word after it (`vocabulary` makes sure of it), so the lattice is a chain of unit
+lattices; lattices of equal units in a batch are built once (trie walk, backward log sums).
+Characters without a piece fall back to the byte pieces. A piece of rank r has the weight
+(r + 2) ** -alpha (BPE models store ranks); a byte weighs like the last piece that starts a word.
 
 Sampling is perturbed A* search over the lattice. The search tree's nodes are prefixes; a node's
 value is the largest Gumbel-perturbed log probability below it. The root's value is a Gumbel
@@ -22,7 +23,9 @@ is read on the driver only; workers get the pieces (a table of the vocabulary's
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,7 @@ _SPACE = "▁"
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[int, bytes, float]]:
-    """(id, bytes, rank) of the model's pieces; the space mark is a space. Byte pieces have rank -1."""
+    """(id, bytes, rank) of all pieces of the model that text can have; the space mark is a space. Byte pieces have rank -1."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -49,9 +52,10 @@ def vocabulary(path: str = MODEL) -> list[tuple[int, bytes, float]]:
         if sp.is_byte(i):
             out.append((i, bytes([int(sp.id_to_piece(i)[3:5], 16)]), -1.0))
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-            piece = sp.id_to_piece(i)
-            if _SPACE not in piece[1:]:  # a piece keeps to one word
-                out.append((i, piece.replace(_SPACE, " ").encode(), -sp.get_score(i)))
+            piece = sp.id_to_piece(i).replace(_SPACE, " ")
+            if " " in piece.lstrip(" "):
+                raise ValueError(f"piece {i} goes on after a word: units would have to be longer than a run of spaces and a word")
+            out.append((i, piece.encode(), -sp.get_score(i)))
     return out
 
 
@@ -73,7 +77,7 @@ class Trie:
         for prefix, s in states.items():
             if prefix:
                 self.next[states[prefix[:-1]], prefix[-1]] = s
-        worst = max(rank for _, _, rank in pieces_)
+        worst = max(rank for _, raw, rank in pieces_ if b" " not in raw[1:])
         for i, raw, rank in pieces_:
             raws[i] = raw
             self.weight[i] = -alpha * np.log((rank if rank >= 0 else worst) + 2)
@@ -94,7 +98,7 @@ def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """Edges of the lattices of `units` laid end to end in `data` (each starts with a space)."""
+    """Edges of the lattices of `units` laid end to end in `data` (each is a run of spaces and a word, one of them may be missing)."""
 
     def __init__(self, trie: Trie, data: np.ndarray, start: np.ndarray):
         n = len(data)
@@ -110,9 +114,9 @@ class Lattice:
         length = 0
         while len(pos):
             state = follow.take(state.astype(np.int64) * 256 + padded[pos + length])
-            alive = np.flatnonzero(state)
-            pos, state = pos[alive], state[alive]
             length += 1
+            alive = np.flatnonzero(state) if length < 2 else np.flatnonzero((state > 0) & (pos + length <= stop[pos]))  # a run of spaces may go on in the next unit
+            pos, state = pos[alive], state[alive]
             ident = trie.piece[state]
             hit = np.flatnonzero(ident >= 0)
             at = pos[hit]
@@ -200,7 +204,8 @@ class Sampler:
         raw = np.full(len(data) + len(self.texts), 32, np.uint8)
         raw[np.arange(len(data)) + np.repeat(gap, size)] = data
         self.raw, self.bounds = raw, np.concatenate([[0], np.cumsum(size + (size > 0))])
-        starts = np.flatnonzero(raw == 32)
+        space = raw == 32
+        starts = np.flatnonzero(space & ~np.concatenate([[False], space[:-1]]) | np.bincount(self.bounds[self.texts], minlength=len(raw)).astype(bool)) if len(raw) else np.empty(0, np.int64)
         ends = np.append(starts[1:], len(raw))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(once(("unit bytes",), lambda: np.random.default_rng(3).integers(1, 2**63, 256, dtype=np.uint64))[raw] * powers(0x9E3779B97F4A7C17, len(raw)))])
         inverse = powers(pow(0x9E3779B97F4A7C17, -1, 1 << 64), len(raw))
@@ -247,10 +252,12 @@ class Sampler:
             return out
         L = self.lattice
         paths: list[list[dict]] = [[] for _ in range(d)]
-        todo = {int(t): (None, 0, -np.log(-np.log(float(_uniform(self.keys[t], 1 << 40))))) for t in self.texts}  # parent, branch, value
+        roots = -np.log(-np.log(_uniform(self.keys[self.texts], 1 << 40)))
+        todo = {t: (None, 0, value) for t, value in zip(self.texts.tolist(), roots.tolist())}  # parent, branch, value
         for sample in range(self.k):
             heads, new_units, new_nodes = {}, [], []
-            for t, (parent, branch, value) in todo.items():
+            chance = _uniform(self.keys[list(todo)], np.array([x[1] for x in todo.values()], np.int64), sample, 1 << 41).tolist() if sample and todo else [0.0] * len(todo)
+            for (t, (parent, branch, value)), u in zip(todo.items(), chance):
                 lo, hi = self.first_unit[t], self.first_unit[t + 1]
                 if parent is None:
                     heads[t] = (np.empty(0, np.int64), np.empty(0, np.int64), [], value, 0)
@@ -259,10 +266,9 @@ class Sampler:
                     continue
                 node = L.at[parent["edges"][branch]]
                 banned = [*(parent["banned"] if branch == parent["branch"] else []), int(parent["edges"][branch])]
-                free = np.setdiff1d(np.arange(L.first[node], L.first[node + 1]), banned)
-                p = np.exp(L.logp[free])
-                u = float(_uniform(self.keys[t], branch, sample, 1 << 41)) * p.sum()
-                edge = int(free[min(np.searchsorted(np.cumsum(p), u, "right"), len(free) - 1)])
+                free = [e for e in range(L.first[node], L.first[node + 1]) if e not in banned]
+                sums = list(itertools.accumulate(L.p[free].tolist()))
+                edge = free[min(bisect.bisect_right(sums, u * sums[-1]), len(free) - 1)]
                 unit = int(parent["units"][branch])
                 heads[t] = (np.append(parent["edges"][:branch], edge), parent["units"][: branch + 1], banned, value, branch)
                 new_units.append(np.arange(unit, hi))
@@ -291,8 +297,9 @@ class Sampler:
             for x, (_, p) in zip(start, parts):
                 if p["banned"]:
                     e = p["edges"][p["branch"]]
-                    others = np.setdiff1d(np.arange(L.first[L.at[e]], L.first[L.at[e] + 1]), [*p["banned"], int(e)])
-                    rest[x + p["branch"]] = np.log(np.exp(L.logp[others]).sum()) if len(others) else -np.inf
+                    gone = {*p["banned"], int(e)}
+                    others = [o for o in range(L.first[L.at[e]], L.first[L.at[e] + 1]) if o not in gone]
+                    rest[x + p["branch"]] = np.log(L.p[others].sum()) if others else -np.inf
             key = np.repeat(np.array([self.keys[t] for t, _ in parts], np.uint64), size)
             u = _uniform(key, np.arange(len(every)) - np.repeat(start, size), sample, 1 << 42)
             value = np.repeat([p["value"] for _, p in parts], size)

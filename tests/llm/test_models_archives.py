@@ -71,6 +71,16 @@ def test_all_segmentations_in_the_end(trie):
     assert {s for s, _, _ in got} == set(want) and all(i == 0 for _, _, i in got)
 
 
+@pytest.mark.parametrize("text", ["  a", "a   b", "  ", "a  "])
+def test_runs_of_spaces_are_pieces(trie, text):
+    want = paths(trie, text)
+    assert any(b"  " in trie.raw[trie.start[i] : trie.start[i] + trie.size[i]].tobytes() for p in want for i in p)
+    for texts in ([text], [text, "  x", text, " ", "   "]):  # units of spaces alone beside others
+        got = draws(trie, texts, [1] * len(texts), len(want) + 5)[0]
+        assert {s for s, _, _ in got} == set(want) and len(got) == len(want)
+        assert all(logp == pytest.approx(np.log(want[s]), abs=1e-9) for s, logp, _ in got)
+
+
 def test_round_trip_and_partition_independence(spark, trie):
     texts = ["Hello  world\n\tand\r\n more", "", None, " ", "▁x ▁", "\x00ÿ漢字𝄞é́", "a" * 5000, "word " * 20_000, "Ünïcödé ñandú", "- - -"]
     rows = [(i, t, "x", [1]) for i, t in enumerate(texts)] + [(None, "the same", None, None), (3, "the same", None, None)] * 2
