@@ -12,10 +12,13 @@ lower-casing A-Z; with fewer words the whole sequence is one shingle), as 64-bit
 2. Documents with equal sets form a class, with one representative.
 3. Representatives that share a band key are tied to the smallest id under that key; connected
    ties are a candidate cluster (no pair list is made, whatever the size of a bucket).
-4. Only clustered documents send their full set. A cluster is dealt into blocks of bounded size
-   and every two blocks meet in one task, which compares full sets exactly and returns a
-   spanning forest of the links it found, never all pairs. Clusters of any size are compared
-   completely; the cost of a very large one shows as more blocks.
+4. Only clustered documents send their full set, and full sets are compared exactly. A cluster
+   is dealt into blocks of bounded size, each with the cluster's pivot (its smallest node); a task
+   compares the sets of a block and returns a spanning forest of the links, never all pairs. Most
+   clusters are one block and done. Larger ones fall into groups linked so far; pairs inside a
+   group need no comparison any more, so if a cluster has more than one group, the blocks of all
+   but its largest group meet each other and those of the largest. Every pair of a cluster is thus
+   compared or known to be connected; near copies of one document cost one block each.
 5. Components of the forests, carried back through the classes.
 
 Null and empty texts have no set: they link with nothing. A node is a set with its smallest id,
@@ -201,15 +204,8 @@ def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.nda
     return ids[linked], ids[root[linked]]
 
 
-def verified(docs: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within the candidate clusters `found` (id, component) of the nodes of `reps`, compared on full sets."""
-    found = found.join(reps.select(F.col("node").alias("id"), "rep", "print", "n_shingles"), "id")
-    facts = found.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    nodes = stored(found.join(facts.select("component", blocks.alias("blocks")), "component").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int")), "nodes")
-    full = sets_for(docs, nodes.select(F.col("rep").alias("id")), nodes.count()).join(nodes.withColumnRenamed("rep", "doc_id"), ["doc_id", "print"])
-    meet = full.select("id", "shingles", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    meet = meet.select("id", "shingles", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def compared(sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links (a, b) among the (id, shingles) of each group."""
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()
@@ -218,16 +214,54 @@ def verified(docs: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -
         a, b = links(ids[first], sets, percent) if len(first) > 1 else (ids[:0], ids[:0])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return meet.groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
+    return sets.select("id", "shingles", *keys).groupBy(*keys).applyInArrow(run, "a long, b long")
+
+
+def verified(docs: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is linked in the candidate clusters `found` (id, component) of the nodes of `reps`, compared on full sets."""
+    found = found.join(reps.select(F.col("node").alias("id"), "rep", "print", "n_shingles"), "id")
+    facts = found.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    nodes = stored(found.join(facts.select("component", blocks.alias("blocks")), "component"), "nodes")
+    sets = lambda of: sets_for(docs, of.select(F.col("rep").alias("id")), of.count()).join(of.withColumnRenamed("rep", "doc_id"), ["doc_id", "print"])
+    pivot = F.col("id") == F.col("component")
+    dealt = sets(nodes).withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block(F.col("blocks"), 5)))))
+    large = nodes.filter("blocks > 1")
+    if large.isEmpty():
+        return compared(dealt, ["component", "i"], percent)
+    first = stored(compared(dealt, ["component", "i"], percent), "block-links")
+    known = components(first).withColumnRenamed("component", "part")
+    parts = large.drop("blocks").join(known, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    sizes = parts.groupBy("component", "part").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("total"))
+    best = sizes.groupBy("component").agg(F.max_by("part", F.struct("docs", -F.col("part"))).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    sides = sizes.join(best, "component").groupBy("component", "main").agg(*[
+        F.greatest(F.ceil(F.sum(F.when(side, F.col("docs"))) / BLOCK_DOCS), F.ceil(F.sum(F.when(side, F.col("total"))) / BLOCK_SHINGLES)).cast("int").alias(name)
+        for name, side in (("main_blocks", F.col("part") == F.col("main")), ("other_blocks", F.col("part") != F.col("main")))
+    ])
+    again = stored(parts.join(sides, "component"), "unconnected")
+    if again.isEmpty():
+        return first
+    is_main = F.col("part") == F.col("main")
+    own = F.when(is_main, block(F.col("main_blocks"), 6)).otherwise(block(F.col("other_blocks"), 7))
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda i, j, with_main: F.struct(i.alias("i"), j.alias("j"), F.lit(with_main).alias("with_main"))
+    to_main = F.transform(numbers("main_blocks"), lambda j: pair(F.col("own"), j, True))
+    to_others = F.transform(numbers("other_blocks"), lambda j: pair(F.least(F.col("own"), j), F.greatest(F.col("own"), j), False))
+    from_main = F.transform(numbers("other_blocks"), lambda i: pair(i, F.col("own"), True))
+    meet = sets(again).withColumn("own", own).withColumn("at", F.explode(F.when(is_main, from_main).otherwise(F.concat(to_main, to_others))))
+    return first.unionByName(compared(meet.select("id", "shingles", "component", "at.*"), ["component", "with_main", "i", "j"], percent))
 
 
 def grouped(docs: DataFrame, percent: int) -> DataFrame:
     """One row a document of (doc_id, text, key): doc_id, key, n_shingles, component_id, kept."""
-    signed = stored(signatures(docs, percent), "signatures")
-    classes = signed.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # the number is fixed once stored
+    signed = stored(signatures(docs, percent).withColumn("rid", F.monotonically_increasing_id()), "signatures")  # the number is fixed once stored
+    classes = signed.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("n_shingles").alias("n_shingles"), F.min("rid").alias("node"))
+    classes = stored(classes, "classes")
     reps = classes.filter("rep IS NOT NULL")
-    found = stored(clusters(reps.select("node", "bands")), "clusters")
+    # any row of a class has its bands: those of the row that gave the node its number
+    bands = signed.filter("print IS NOT NULL").select(F.col("rid").alias("node"), "bands").join(reps.select("node"), "node")
+    found = stored(clusters(bands), "clusters")
     linked = components(verified(docs, found, reps, percent)).withColumnRenamed("id", "node").join(reps.select("node", "rep"), "node")
     linked = stored(linked, "linked")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))

@@ -305,6 +305,83 @@ def test_an_id_on_two_texts_loses_neither_links_nor_rows(spark):
     assert sorted(kept, key=str) == sorted([(5, text("a")), (5, text("b")), (2, text("c") + " end"), (5, text("d")), (None, text("e")), (5, None)], key=str)
 
 
+def test_a_large_cluster_of_near_copies_meets_its_pivot_only(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 8)
+    rng = np.random.default_rng(12)
+    base = [f"t{x}" for x in rng.integers(0, 10**6, 120)]
+    near = lambda w, k: " ".join([*w[:k], f"c{k}", *w[k + 1 :]])
+    rows = [(0, " ".join(base))] + [(i, near(base, i)) for i in range(1, 100)]
+    # a second body of copies that shares bands with the first but links with few of its documents
+    other = base[:100] + [f"z{x}" for x in range(14)]
+    rows += [(1000, " ".join(other))] + [(1000 + i, near(other, i)) for i in range(1, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    groups = []
+    compared = neardup.compared
+    monkeypatch.setattr(neardup, "compared", lambda sets, keys, percent: (groups.append(sets.groupBy(*keys).count().collect()), compared(sets, keys, percent))[1])
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 85).collect()}
+    sets = {i: shingles_of(t) for i, t in rows}
+    root = dict.fromkeys(sets)
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    assert got == {i: find(i) for i in root}
+    assert sum(r["count"] for r in groups[0]) <= len(rows) + 2 * len(rows) / 8  # one block each, the pivot in all
+
+
+def test_recall_on_all_documents_of_the_table(spark):
+    """Every row of sf0.1 against an exact join: no link is missed, none is made."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"])
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), 85).collect()}
+    assert len(got) == table.num_rows >= 10_000
+    ids, sets = [], {}
+    for i, s in zip(table.column("doc_id").to_pylist(), neardup.sets_of(table.column("text").combine_chunks())):
+        ids.append(i)
+        if len(s):
+            sets.setdefault(s.tobytes(), []).append(i)
+    kinds = [np.frombuffer(raw, np.uint64) for raw in sets]
+    owners = [min(x) for x in sets.values()]
+    _, rank = np.unique(np.concatenate(kinds), return_inverse=True)
+    rank = np.bincount(rank)[rank] * (rank.max() + 1) + rank  # rare shingles first
+    cuts = np.cumsum([0, *map(len, kinds)])
+    ordered = [np.sort(rank[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+    parent = list(range(len(kinds)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    seen = {}
+    for k in sorted(range(len(kinds)), key=lambda k: len(kinds[k])):
+        s = ordered[k]
+        tried = set()
+        for x in s[: len(s) - -(-85 * len(s) // 100) + 1].tolist():  # linked sets share a shingle of these prefixes
+            for other in seen.setdefault(x, []):
+                if other not in tried and 100 * len(kinds[other]) >= 85 * len(s):
+                    tried.add(other)
+                    both = len(np.intersect1d(s, ordered[other], assume_unique=True))
+                    if 100 * both >= 85 * (len(s) + len(kinds[other]) - both):
+                        a, b = find(k), find(other)
+                        parent[max(a, b)] = min(a, b)
+            seen[x].append(k)
+    least = {}
+    for k in range(len(kinds)):
+        least[find(k)] = min(least.get(find(k), owners[k]), owners[k])
+    want = {i: i for i in ids} | {i: least[find(k)] for k, x in enumerate(sets.values()) for i in x}
+    assert got == want
+
+
 def test_banding_misses_almost_nothing():
     for t in (0.8, 0.85, 0.9):
         r = neardup.rows_a_band(t)
