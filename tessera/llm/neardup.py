@@ -217,13 +217,19 @@ def compared(sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return sets.select("id", "shingles", *keys).groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
+def _small(facts: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """Facts of large clusters, broadcast while they are few, so that a cluster's documents do not meet in one task."""
+    return F.broadcast(facts) if facts.count() <= broadcast_rows else facts
+
+
 def verified(docs: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect what is linked in the candidate clusters `found` (id, component) of the nodes of `reps`, compared on full sets."""
     found = found.join(reps.select(F.col("node").alias("id"), "rep", "print", "n_shingles"), "id")
     facts = found.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("total"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
-    nodes = stored(found.join(facts.select("component", blocks.alias("blocks")), "component"), "nodes")
+    many = stored(facts.select("component", blocks.alias("blocks")).filter("blocks > 1"), "large")
+    nodes = stored(found.join(_small(many), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "nodes")
     sets = lambda of: sets_for(docs, of.select(F.col("rep").alias("id")), of.count()).join(of.withColumnRenamed("rep", "doc_id"), ["doc_id", "print"])
     pivot = F.col("id") == F.col("component")
     dealt = sets(nodes).withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block(F.col("blocks"), 5)))))
@@ -239,7 +245,7 @@ def verified(docs: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -
         F.greatest(F.ceil(F.sum(F.when(side, F.col("docs"))) / BLOCK_DOCS), F.ceil(F.sum(F.when(side, F.col("total"))) / BLOCK_SHINGLES)).cast("int").alias(name)
         for name, side in (("main_blocks", F.col("part") == F.col("main")), ("other_blocks", F.col("part") != F.col("main")))
     ])
-    again = stored(parts.join(sides, "component"), "unconnected")
+    again = stored(parts.join(_small(stored(sides, "sides")), "component"), "unconnected")
     if again.isEmpty():
         return first
     is_main = F.col("part") == F.col("main")
@@ -260,7 +266,7 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
     classes = stored(classes, "classes")
     reps = classes.filter("rep IS NOT NULL")
     # any row of a class has its bands: those of the row that gave the node its number
-    bands = signed.filter("print IS NOT NULL").select(F.col("rid").alias("node"), "bands").join(reps.select("node"), "node")
+    bands = signed.filter("print IS NOT NULL").select(F.col("rid").alias("node"), "bands").join(reps.select("node").hint("merge"), "node")
     found = stored(clusters(bands), "clusters")
     linked = components(verified(docs, found, reps, percent)).withColumnRenamed("id", "node").join(reps.select("node", "rep"), "node")
     linked = stored(linked, "linked")
