@@ -7,7 +7,6 @@ from (document, position, section, region, anchor). Tables go through the table
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,13 +30,14 @@ REGION_HEADINGS = [
     ("financial_statement_notes", r"NOTES? TO (?:THE )?(?:CONSOLIDATED )?FINANCIAL STATEMENTS(?: \(CONTINUED\))?"),
     ("financial_statements", r"(?:CONSOLIDATED |COMBINED )?(?:STATEMENTS? OF .+|BALANCE SHEETS?|STATEMENTS? OF CASH FLOWS|STATEMENTS? OF STOCKHOLDERS['’]? EQUITY)"),
 ]
+LISTS = frozenset(("ul", "ol"))
 NOTE = re.compile(r"NOTE\s+\d+[A-Z]?(?:\.|\s*[-—–])\s*.+")
 
 
 def item_section(n: Node, text: str) -> str | None:
     """'Item N — Title' of a bold or upper-case item heading."""
     hit = ITEM.fullmatch(text) if len(text) <= 250 else None
-    if not hit or not (text.isupper() or any(x.bold for x in n.nodes())):
+    if not hit or not (text.isupper() or n.has_bold):
         return None
     return f"Item {hit.group(1).upper()} — {hit.group(2).strip().rstrip('.')}"
 
@@ -46,14 +46,13 @@ def is_subheading(n: Node, text: str) -> bool:
     """A short paragraph that is bold as a whole, outside tables and lists, without a link into the page."""
     if n.tag not in ("p", "div") or not text or len(text) > 200 or len(text.split()) > 25 or text[-1] in ".?!;":
         return False
-    if any(u.tag in ("table", "li") for u in n.up()) or n.links_inside():
+    if not n.has_bold or n.has_link or n.listed:
         return False
-    return any(x.bold and normalize(x.raw_text()) == text for x in n.nodes())
+    return any(x.bold and x.brief is not None and normalize(x.brief) == text for x in n.nodes())
 
 
 def is_leaf_div(n: Node) -> bool:
-    inner = {"div", "p", "table", "ul", "ol", "li"}
-    return n.tag == "div" and bool(normalize(n.raw_text())) and not any(x.tag in inner for x in n.nodes() if x is not n)
+    return n.tag == "div" and not n.blank and not n.has_inner
 
 
 class Walk:
@@ -126,32 +125,27 @@ class Walk:
             if block["kind"] != "list_item" and "fragment" in block:
                 self.last_table, self.since_table = self.blocks[-1], 0
 
-    def visit(self, n: Node) -> None:
-        text_node = n.tag == "p" or n.tag in HEADINGS or is_leaf_div(n)
-        if n.tag == "table":
-            self.tables += 1
-            if self.started:
-                self.table_block(n)
-            return
-        if text_node and not self.started:
-            section = item_section(n, visible_text(n))
-            if not (section and section.startswith("Item 1 —") and not n.links_inside()):
-                return
-            self.started = True
-        if text_node:
-            self.text_block(n)
-        elif n.tag == "li":
-            if self.started:
-                text = visible_text(n, frozenset(("ul", "ol")))
-                if text:
+    def visit(self, top: Node) -> None:
+        """Nodes in document order; texts, items and tables are not gone into, but for lists in items."""
+        stack = [top]
+        while stack:
+            n = stack.pop()
+            inside = [c for c in n.children if isinstance(c, Node)]
+            if n.tag == "table":
+                self.tables += 1
+                if self.started:
+                    self.table_block(n)
+            elif n.tag == "p" or n.tag in HEADINGS or is_leaf_div(n):
+                section = None if self.started else item_section(n, visible_text(n))
+                self.started |= bool(section) and section.startswith("Item 1 —") and not n.has_link
+                if self.started:
+                    self.text_block(n)
+            elif n.tag == "li":
+                if self.started and (text := visible_text(n, LISTS)):
                     self.emit("list_item", text, n)
-                for c in n.children:
-                    if isinstance(c, Node) and c.tag in ("ul", "ol"):
-                        self.visit(c)
-        else:
-            for c in n.children:
-                if isinstance(c, Node):
-                    self.visit(c)
+                stack += [c for c in reversed(inside) if c.tag in LISTS and self.started]
+            else:
+                stack += reversed(inside)
 
 
 def extract_blocks(html_text: str | None, ticker: str, year: int, company: str = "", whole_body: bool = False) -> list[dict]:
@@ -200,7 +194,6 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     names = [f.strip().split(" ", 1)[0] for f in re.sub(r"<[^>]*(?:<[^>]*>)?[^>]*>", "", BLOCK_SCHEMA).split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))  # deeply nested pages
         for f in frames:
             rows = []
             for doc, text in zip(f["doc"], f["html"]):

@@ -134,6 +134,19 @@ def test_cleaning_and_text():
     assert [b["text"] for b in open_tags] == ["one", "two", "three", "four"]
 
 
+def test_depth_and_length_of_a_page_cost_no_more_than_their_size():
+    import time
+
+    start = time.perf_counter()
+    assert len(H.extract_blocks("<div>" * 20_000 + "deep <b>x</b>", "T", 1, whole_body=True)) == 1
+    assert len(H.extract_blocks("<p><b>Item 1. Business</b></p>" + "<div><p>a <b>x</b></p>" * 20_000, "T", 1)) == 20_001
+    assert len(H.extract_blocks("<ul>" + "<li>a<ul>" * 10_000, "T", 1, whole_body=True)) == 10_000
+    assert time.perf_counter() - start < 60
+    many = "<body>" + "<span>w </span>" * 45 + "</body>"
+    wide = H.parse(f'<body><p><a href="#toc">{"<i></i>" * 45}Table of Contents</a></p>{many}</body>')
+    assert H.clean(wide) == 1  # however many children it has
+
+
 def test_markdown_rows():
     assert T.split_row(r"| a \| b | c |") == [r"a \| b", "c"]
     assert not T.valid_markdown("| a | b |\n| --- | --- |\n| c |") and not T.valid_markdown("| a |")
