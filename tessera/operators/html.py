@@ -185,7 +185,10 @@ BLOCK_SCHEMA = (
     "doc bigint, block_id string, block_index int, section string, section_path array<string>, document_region string, effective_section_path array<string>, "
     "content_type string, text string, source_tag string, source_anchor string, heading_kind string, table_kind string, title string, units string, header_mode string, "
     "logical_width int, logical_column_headers array<string>, logical_column_units array<string>, logical_rows array<array<string>>, logical_row_roles array<string>, "
-    "logical_table_id string, continued_from_block_id string"
+    "logical_table_id string, continued_from_block_id string, title_source string, table_reasons array<string>, logical_header_paths array<array<string>>, "
+    "logical_header_context array<string>, logical_roles array<string>, logical_cell_states array<array<string>>, logical_row_source_indexes array<int>, "
+    "continuation_reasons array<string>, inherited_fields array<string>, table_faults array<string>, source_cells int, physical_empty_density double, "
+    "logical_empty_density double, width_ratio double, accounted double, html_table_id string, html_table_xpath string, html_table_sha256 string"
 )
 
 
