@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,7 +82,17 @@ def _ends(text: str) -> tuple[dict, dict, str, str] | None:
 
 
 def analyze(raw: str | None) -> Cell:
-    """The kind of a cell's text; the first rule that fits decides."""
+    """The kind of a cell's text (a shared object; `refine` gives a new one). Short texts, which repeat, are analysed once a process."""
+    return _analyzed(raw) if raw is not None and len(raw) <= 48 else _analyze(raw)
+
+
+@lru_cache(maxsize=1 << 15)
+def _analyzed(raw: str) -> Cell:
+    return _analyze(raw)
+
+
+def _analyze(raw: str | None) -> Cell:
+    """The first rule that fits decides."""
     text = normalize(raw)
     plain = re.sub("[−–—]", "-", text)
     cell = Cell(text)
@@ -157,7 +168,7 @@ def refine(cell: Cell, header: str = "", stable_prefix: bool = False) -> Cell:
     """An identifier column (by its header or a stable prefix) decides what a number alone leaves open."""
     words = normalize(header).casefold()
     if "exhibit_or_file_identifier" in cell.candidates and (stable_prefix or any(w in words for w in ("exhibit", "file number", "page"))):
-        cell.kind = "exhibit_or_file_identifier"
+        return replace(cell, kind="exhibit_or_file_identifier")
     return cell
 
 

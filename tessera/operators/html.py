@@ -181,6 +181,29 @@ def filing_facts(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     return pages.select(F.col(id_col).cast("long").alias("doc"), F.col(html_col).alias("html")).mapInPandas(run, "doc bigint, fact string, value string")
 
 
+CELL_SCHEMA = "doc bigint, table_index int, row_index int, col_start int, col_end int, rowspan int, text string, header boolean, bold boolean, centered boolean, border boolean, kind string"
+
+
+def source_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """One row a source cell of every outermost table: its place on the grid and how it looks. Tables inside cells are the cells' text."""
+    names = [f.strip().split(" ")[0] for f in CELL_SCHEMA.split(",")]
+
+    def cells(doc: int, text: str | None) -> Iterator[tuple]:
+        root = parse(text)
+        clean(root)
+        outer = (n for n in root.nodes() if n.tag == "table" and not n.listed)
+        for k, n in enumerate(outer, 1):
+            for c in tables.grid(n):
+                if c.text:
+                    yield doc, k, c.row, c.start, c.end, c.rowspan, c.text, c.header, c.bold >= 0.5, c.centered, c.border, c.cell.kind
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([row for d, t in zip(f["doc"], f["html"]) for row in cells(d, t)], columns=names)
+
+    return pages.select(F.col(id_col).cast("long").alias("doc"), F.col(html_col).alias("html")).mapInPandas(run, CELL_SCHEMA)
+
+
 BLOCK_SCHEMA = (
     "doc bigint, block_id string, block_index int, section string, section_path array<string>, document_region string, effective_section_path array<string>, "
     "content_type string, text string, source_tag string, source_anchor string, heading_kind string, table_kind string, title string, units string, header_mode string, "
