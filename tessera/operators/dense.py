@@ -31,29 +31,41 @@ def _matrices(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-def top(queries: DataFrame, corpus: DataFrame, k: int = 10, qid: str = "qid", id_col: str = "vec_id", vector: str = "embedding", group: str | None = None, same_group: bool = False) -> DataFrame:
-    """(qid, id_col, score, rank). With `same_group` a query (which then has the column `group`) sees only rows of its group."""
-    found = None
-    wanted = queries.select(F.col(qid).alias("qid"), F.col(vector).alias("v"), (F.col(group) if same_group else F.lit(0)).alias("g"))
-    held: list = []
-    blocks = []
+def _blocks(wanted: DataFrame) -> Iterator[list[tuple]]:
+    """(qid, vector, group) rows in blocks of at most BLOCK_QUERIES; the driver holds one block at a time."""
+    held: list[tuple] = []
     for row in wanted.toLocalIterator():
         held.append((row.qid, list(row.v or []), row.g))
         if len(held) == BLOCK_QUERIES:
-            blocks.append(held)
+            yield held
             held = []
-    blocks += [held] if held or not blocks else []
-    rows = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), (F.col(group) if same_group else F.lit(0)).alias("g"))
-    for block in blocks:
+    if held:
+        yield held
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best finite scores with their ids, ties to the smaller id."""
+    fine = np.isfinite(score)
+    score, ids = score[fine], ids[fine]
+    order = np.lexsort((ids, -score))[:k]
+    return score[order], ids[order]
+
+
+def top(queries: DataFrame, corpus: DataFrame, k: int = 10, qid: str = "qid", id_col: str = "vec_id", vector: str = "embedding", group: str | None = None, same_group: bool = False) -> DataFrame:
+    """(qid, id_col, score, rank). With `same_group` a query (which then has the column `group`) sees only rows of its group. Rows without an id are not found."""
+    schema = "qid long, id long, score double"
+    own_group = F.col(group) if same_group else F.lit(0)
+    wanted = queries.select(F.col(qid).alias("qid"), F.col(vector).alias("v"), own_group.alias("g"))
+    rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), own_group.alias("g")).filter("id IS NOT NULL")
+    found = corpus.sparkSession.createDataFrame([], schema)
+    for block in _blocks(wanted):
         sent = corpus.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names = [q for q, _, _ in sent.value]
-            if not names:
-                return
             asked = _matrices(pa.array([v for _, v, _ in sent.value], pa.list_(pa.float64())))
             groups = np.array([g for _, _, g in sent.value], object)
-            best: list[np.ndarray] = [np.empty((0, 2)) for _ in names]
+            best = [(np.empty(0), np.empty(0, np.int64)) for _ in names]
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -64,18 +76,15 @@ def top(queries: DataFrame, corpus: DataFrame, k: int = 10, qid: str = "qid", id
                         queries_at, matrix = asked[width]
                         score[np.ix_(at, queries_at)] = np.where(m.any(axis=1)[:, None], np.round(m @ matrix.T, 9), -np.inf)
                 own = np.array(b.column(2).to_pylist(), object)
-                for j in range(len(names)):
-                    s = np.where(own != groups[j], -np.inf, score[:, j]) if same_group else score[:, j]
-                    order = np.lexsort((ids, -s))[:k]
-                    both = np.concatenate([best[j], np.column_stack([s[order], ids[order]])])
-                    best[j] = both[np.lexsort((both[:, 1], -both[:, 0]))[:k]]
-            for q, rows_ in zip(names, best):
-                rows_ = rows_[np.isfinite(rows_[:, 0])]
-                if len(rows_):
-                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(rows_), pa.int64()), pa.array(rows_[:, 1].astype(np.int64)), pa.array(rows_[:, 0])], ["qid", "id", "score"])
-
-        part = rows.mapInArrow(run, "qid long, id long, score double")
-        found = part if found is None else found.unionByName(part)
+                for j, (s, i) in enumerate(best):
+                    new = np.where(own != groups[j], -np.inf, score[:, j]) if same_group else score[:, j]
+                    some = _best(new, ids, k)
+                    best[j] = _best(np.concatenate([s, some[0]]), np.concatenate([i, some[1]]), k)
+            for q, (s, i) in zip(names, best):
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(s), pa.int64()), pa.array(i), pa.array(s)], ["qid", "id", "score"])
+
+        found = found.unionByName(rows.mapInArrow(run, schema))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
 

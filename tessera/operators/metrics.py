@@ -8,6 +8,35 @@ from pyspark.sql import functions as F
 KS = (1, 3, 5, 10, 15, 20, 30)
 
 
+RUN = r"(?<=\s)(?=(\S+\s+\S+\s+\S+\s+\S+)\s)"
+"""Each run of four whole words, white space between them as it is; runs overlap, as the match itself is empty."""
+
+
+def containing(docs: DataFrame, passages: DataFrame, id_col: str, qid: str = "qid", text: str = "text", passage: str = "passage", short_rows: int = 10_000) -> DataFrame:
+    """(qid, id) of every document that holds a passage verbatim.
+
+    Four words in a row inside a passage, with white space around them, stand as they are in any text that holds it.
+    So passages meet texts by equal runs, each passage by that of its runs which the fewest texts have, and are then
+    compared as they are. Passages without such a run (of few words) are sent to the texts, at most `short_rows` of them.
+    """
+    runs = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(RUN), F.lit(1)))).alias("_run")
+    asked = passages.filter(F.col(passage).isNotNull()).select(qid, passage)
+    keys = asked.select(qid, passage, runs(F.col(passage)))
+    shared = docs.select(id_col, runs(F.col(text))).join(keys.select("_run").distinct(), "_run")  # the passages' runs are few next to the texts'
+    counted = shared.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = keys.join(counted, "_run").groupBy(qid, passage).agg(F.min_by("_run", F.struct("_n", "_run")).alias("_run"))
+    met = shared.join(rarest, "_run").select(qid, passage, id_col)
+    found = met.join(docs.select(id_col, text), id_col).filter(F.contains(text, passage)).select(qid, id_col)
+    short = asked.filter(~F.col(passage).rlike(RUN)).limit(short_rows + 1).collect()
+    if len(short) > short_rows:
+        raise ValueError(f"more than {short_rows} passages without four words in a row")
+    if short:
+        held = F.array(*[F.struct(F.lit(r[0]).alias("q"), F.lit(r[1]).alias("p")) for r in short])
+        hits = docs.select(id_col, F.explode(F.filter(held, lambda x: F.contains(F.col(text), x["p"]))).alias("x"))
+        found = found.unionByName(hits.select(F.col("x.q").alias(qid), id_col))
+    return found
+
+
 def ranks_of_gold(gold: DataFrame, results: DataFrame, id_col: str) -> DataFrame:
     """(qid, id, rank): each gold item with its rank, null if it was not retrieved."""
     return gold.select("qid", id_col).join(results.select("qid", id_col, "rank"), ["qid", id_col], "left")

@@ -13,10 +13,9 @@ from tessera.sources.tables import table
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, doc_id): the stated passages against all documents, in one pass over the texts (Spark broadcasts the passages while they are small)."""
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage")).filter("passage IS NOT NULL")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return docs.join(items, F.contains("text", "passage")).select("qid", "doc_id")
+    """(qid, doc_id): all documents that hold a passage, met by the passage's rarest run of words."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    return metrics.containing(table(spark, sf, "documents").select("doc_id", "text"), items, "doc_id")
 
 
 def _run(spark: SparkSession, sf: str, k: int = 30) -> DataFrame:

@@ -243,3 +243,24 @@ def test_vectors_of_another_width_hide_no_others(spark):
     for grouped in (False, True):
         got = dense.top(queries, corpus, 5, group="label", same_group=grouped)
         assert sorted((r.qid, r["rank"], r.vec_id) for r in got.collect()) == [(10, 1, 1), (10, 2, 2), (11, 1, 3)]
+
+
+def test_large_ids_and_null_ids_in_dense_search(spark):
+    from tessera.operators import dense
+
+    big = 2**53
+    corpus = spark.createDataFrame([(big + 1, [1.0, 0.0]), (big + 2, [1.0, 0.1]), (None, [1.0, 0.0]), (5, None)], "vec_id long, embedding array<double>")
+    got = dense.top(spark.createDataFrame([(1, [1.0, 0.0])], "qid long, embedding array<double>"), corpus, 5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [big + 1, big + 2]
+
+
+def test_containing_documents_equal_a_nested_loop(spark):
+    import random
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(" ".join(rnd.choices(words, k=rnd.randrange(0, 60))) if i % 7 else None, i) for i in range(120)]
+    passages = [(k, t[max(0, a) : a + rnd.randrange(1, 80)]) for k, (t, a) in enumerate((x, rnd.randrange(0, 40)) for x, _ in texts if x)] + [(900, None), (901, ""), (902, "w1"), (903, "a b c d e f g")]
+    docs = spark.createDataFrame([(i, t) for t, i in texts], "doc_id long, text string")
+    got = {tuple(r) for r in metrics.containing(docs, spark.createDataFrame(passages, "qid long, passage string"), "doc_id").select("qid", "doc_id").collect()}
+    assert got == {(k, i) for k, p in passages for t, i in texts if p is not None and t is not None and p in t}
