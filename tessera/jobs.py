@@ -56,7 +56,7 @@ def refuse(found: DataFrame) -> None:
 def search(spark: SparkSession, documents: str, queries: str, out: str, k: int = 30, overwrite: bool = False) -> DataFrame:
     """BM25 top k of every query (item_id, text), with the query's scope."""
     asked = spark.read.parquet(queries)
-    found = bm25.top(bm25.scores(asked, spark.read.parquet(documents)), k)
+    found = bm25.top(bm25.scores(asked, bm25.build(spark.read.parquet(documents))).drop("share"), k)
     scopes = scope.with_scope(asked.select(F.col("item_id").alias("qid"), "text"), "text").select("qid", "scope")
     return save(found.join(scopes, "qid", "left"), out, overwrite)
 

@@ -1,67 +1,71 @@
-"""BM25 (Lucene variant) over many queries at once.
+"""BM25 (Lucene variant) over many queries at once, on a stored index.
 
 idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a term adds idf * tf / (tf + k1 * (1 - b + b * dl / avgdl)).
 Only documents with a score above 0 are ranked. Ties go to the smaller document id.
 
-Queries are few next to documents. Their terms carry no hint: Spark broadcasts them while their
-size is under its threshold, so a document's tokens are filtered where they are read and only
-(document, term, tf) rows of query terms are shuffled; larger query sets meet the tokens by a
-shuffle. A stored index (`postings`) serves repeated query batches.
+The index is built once: every text is tokenised once, its postings (term, doc_id, tf, dl, df) are
+sorted by term and document over range partitions, so a term of any frequency is spread over tasks and
+files, and corpus facts are two numbers. Queries carry no hint: their terms are broadcast by Spark
+while they are under its threshold, and (query, document) sums are the only rows shuffled.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import search_terms
+from tessera.sources.store import stored
 
 K1, B = 1.5, 0.75
 
 
-def doc_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, terms array, dl)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), search_terms(F.col(text_col)).alias("terms"))
-    return rows.withColumn("dl", F.size("terms"))
+@dataclass(frozen=True)
+class Index:
+    postings: DataFrame
+    n_docs: int
+    avgdl: float
+
+
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", require_text: bool = False) -> Index:
+    """The stored index of (id, text). With `require_text` a null or blank text is an error."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), search_terms(F.col(text_col)).alias("terms"), (F.coalesce(F.trim(text_col), F.lit("")) == "").alias("blank"))
+    terms = stored(rows.withColumn("dl", F.size("terms")), "terms")
+    facts = terms.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.count_if("blank").alias("blank")).first()
+    if require_text and facts.blank:
+        raise ValueError(f"{facts.blank} texts to index are empty")
+    tf = terms.select("doc_id", "dl", F.explode("terms").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    postings = tf.join(df, "term").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    return Index(stored(postings.select("term", "doc_id", "tf", "dl", "df"), "postings"), facts.n, facts.avgdl or 0.0)
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, doc_id, tf, dl) for every term of every document."""
-    terms = doc_terms(docs, id_col, text_col)
-    return terms.select("doc_id", "dl", F.explode("terms").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def idf(n: int, df: Column) -> Column:
+    return F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
 
 
-def term_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def term_stats(index: Index) -> DataFrame:
     """(term, df, cf, idf)."""
-    terms = doc_terms(docs, id_col, text_col)
-    n = terms.agg(F.count(F.lit(1)).alias("n_docs"))
-    counted = terms.select("doc_id", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    stats = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    return stats.join(F.broadcast(n)).select("term", "df", "cf", idf(F.col("n_docs"), F.col("df")).alias("idf"))
-
-
-def idf(n: Column, df: Column) -> Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
-
-
-def scores(queries: DataFrame, docs: DataFrame, qid: str = "item_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, doc_id, score) of every document that has a query term; each distinct query term counts once."""
-    asked = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(search_terms(F.col(query_text)))).alias("term"))
-    wanted = asked.select("term").distinct()
-    # One scan: the empty term stands in every document and so counts documents and lengths with the others.
-    # df and the facts read the same exchange as tf (their aggregates need all of its columns).
-    every = doc_terms(docs, id_col, text_col).withColumn("terms", F.concat("terms", F.array(F.lit(""))))
-    wanted = wanted.unionAll(queries.sparkSession.range(1).select(F.lit("").alias("term")))
-    tf = every.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    stats = tf.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"), F.sum("dl").alias("length"))
-    of_all = lambda c: F.max(F.when(F.col("term") == "", F.col(c)))
-    facts = stats.agg(of_all("df").alias("n_docs"), (of_all("length") / of_all("df")).alias("avgdl"))
-    weight = idf(F.col("n_docs"), F.col("df")) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighed = tf.join(stats.select("term", "df"), "term").join(F.broadcast(facts)).select("term", "doc_id", weight.alias("w"))
-    return weighed.join(asked, "term").groupBy("qid", "doc_id").agg(F.sum("w").alias("score"))
-
-
-def top(scored: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
+    stats = index.postings.groupBy("term").agg(F.first("df").alias("df"), F.sum("tf").alias("cf"))
+    return stats.select("term", "df", "cf", idf(index.n_docs, F.col("df")).alias("idf"))
+
+
+def query_terms(queries: DataFrame, qid: str, query_text: str) -> DataFrame:
+    """(qid, n, term): each distinct term of a query once, with their number."""
+    asked = queries.select(F.col(qid).alias("qid"), F.array_distinct(search_terms(F.col(query_text))).alias("terms"))
+    return asked.select("qid", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+
+
+def scores(queries: DataFrame, index: Index, qid: str = "item_id", query_text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, doc_id, score, share) of every document that has a query term: BM25, and the share of the query's terms it has."""
+    weight = idf(index.n_docs, F.col("df")) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
+    met = index.postings.join(query_terms(queries, qid, query_text), "term")
+    return met.groupBy("qid", "doc_id").agg(F.sum(weight).alias("score"), (F.count(F.lit(1)) / F.max("n")).alias("share"))
+
+
+def top(scored: DataFrame, k: int, id_col: str = "doc_id", score: str = "score") -> DataFrame:
     """The k best a query with their rank; scores are compared at nine places, ties go to the smaller id."""
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), F.col(id_col))
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round(score, 9)), F.col(id_col))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

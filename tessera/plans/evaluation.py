@@ -19,7 +19,7 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf: str, k: int = 30) -> DataFrame:
-    return bm25.top(bm25.scores(table(spark, sf, "benchmark"), table(spark, sf, "documents")), k)
+    return bm25.top(R.scores(spark, sf), k)
 
 
 def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import search_terms
 from tessera.operators import bm25, dense, fusion, retrieve, scope
 from tessera.operators.providers import OverlapScorer, rerank
+from tessera.sources.store import once, version
 from tessera.sources.tables import table
 
 # In the synthetic texts a function word of each language stands in for a company's name.
@@ -17,21 +17,29 @@ CUES = ["from the", "pour les", "mit der"]
 ENUMERATION = [r"\bwho (?:the|of|is)\b", r"\bthat (?:of|the)\b"]
 
 
+def index(spark: SparkSession, sf: str) -> bm25.Index:
+    """The BM25 index of `documents`, built once a Spark application and again if the table changes."""
+    path = f"{sf}/documents.parquet"
+    return once(spark, ("bm25", path, version(spark, path)), lambda: bm25.build(table(spark, sf, "documents")))
+
+
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    """(qid, doc_id, score, share) of benchmark items against all documents."""
+    return bm25.scores(table(spark, sf, "benchmark"), index(spark, sf))
+
+
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scored = bm25.scores(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
-    return bm25.top(scored, 10).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return bm25.top(scores(spark, sf), 10).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_scoped_postfilter(spark: SparkSession, sf: str) -> DataFrame:
     """Global statistics, then only rows of the allowed sources, then the cut."""
-    docs = table(spark, sf, "documents")
-    scored = bm25.scores(table(spark, sf, "benchmark"), docs)
-    allowed = docs.filter(F.col("source").isin("src0", "src3", "src7")).select("doc_id", "source")
-    return bm25.top(scored.join(allowed, "doc_id"), 10).select("qid", "doc_id", "source", F.round("score", 6).alias("score"), "rank")
+    allowed = table(spark, sf, "documents").filter(F.col("source").isin("src0", "src3", "src7")).select("doc_id", "source")
+    return bm25.top(scores(spark, sf).join(allowed, "doc_id"), 10).select("qid", "doc_id", "source", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_index_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.term_stats(table(spark, sf, "documents")).withColumn("idf", F.round("idf", 6))
+    return bm25.term_stats(index(spark, sf)).withColumn("idf", F.round("idf", 6))
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,23 +67,13 @@ def vector_norm_audit(spark: SparkSession, sf: str) -> DataFrame:
     return dense.norm_audit(table(spark, sf, "embeddings"))
 
 
-def term_overlap_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """The share of an item's distinct terms that a document has: (qid, doc_id, score)."""
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(search_terms(F.col("text"))).alias("terms"))
-    asked = asked.select("qid", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(search_terms(F.col("text")))).alias("term"))
-    shared = docs.join(asked, "term").groupBy("qid", "doc_id", "n").agg(F.count(F.lit(1)).alias("hits"))
-    return shared.select("qid", "doc_id", (F.col("hits") / F.col("n")).alias("score"))
-
-
 def term_overlap_ranks(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    """A second ranked list (qid, doc_id, score, rank)."""
-    return bm25.top(term_overlap_scores(spark, sf), k)
+    """A second ranked list (qid, doc_id, score, rank): by the share of an item's distinct terms that a document has."""
+    return bm25.top(scores(spark, sf).select("qid", "doc_id", F.col("share").alias("score")), k)
 
 
 def _two_lists(spark: SparkSession, sf: str, k: int = 30) -> tuple[DataFrame, DataFrame]:
-    lexical = bm25.top(bm25.scores(table(spark, sf, "benchmark"), table(spark, sf, "documents")), k)
-    return term_overlap_ranks(spark, sf, k), lexical
+    return term_overlap_ranks(spark, sf, k), bm25.top(scores(spark, sf).drop("share"), k)
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,8 +128,9 @@ def scope_aware_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark item answered by the branch of its scope; sources stand in for companies."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     asked = scope.with_scope(items, "text", SOURCES, CUES, ENUMERATION).select("qid", "scope", "companies")
-    docs = table(spark, sf, "documents")
-    return retrieve.scope_aware(asked, term_overlap_scores(spark, sf), bm25.scores(table(spark, sf, "benchmark"), docs), docs, "doc_id", "source", top_k=10)
+    found = scores(spark, sf)
+    overlap, lexical = found.select("qid", "doc_id", F.col("share").alias("score")), found.select("qid", "doc_id", "score")
+    return retrieve.scope_aware(asked, overlap, lexical, table(spark, sf, "documents"), "doc_id", "source", top_k=10)
 
 
 def rerank_stub(spark: SparkSession, sf: str) -> DataFrame:

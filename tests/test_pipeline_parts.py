@@ -96,7 +96,7 @@ def test_scope_aware_branches(spark):
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "apple banana apple"), (2, "banana cherry"), (3, None), (4, "")], "doc_id long, text string")
     asked = spark.createDataFrame([(9, "Apple pie of the banana"), (8, None)], "item_id long, text string")
-    got = {r.doc_id: r.score for r in bm25.scores(asked, docs).collect()}
+    got = {r.doc_id: r.score for r in bm25.scores(asked, bm25.build(docs)).collect()}
     avg = 5 / 4
     idf = lambda df: np.log(1 + (4 - df + 0.5) / (df + 0.5))
     part = lambda tf, dl: tf / (tf + 1.5 * (0.25 + 0.75 * dl / avg))
