@@ -47,17 +47,23 @@ def embedding_violations(vectors: DataFrame, chunks: DataFrame, width: int, key:
 
 
 def manifest(vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """One row: vectors, width, and a digest of all text hashes (XOR-folded by key, so that no task holds them all)."""
-    return vectors.agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("embedding")).alias("width"), F.bit_xor(F.xxhash64(key, "text_sha256")).alias("digest"))
+    """One row: vectors, width, and a digest of all text hashes (a sum by key, so that no task holds them all and equal rows do not cancel)."""
+    return vectors.agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("embedding")).alias("width"), F.sum(F.xxhash64(key, "text_sha256").cast("decimal(38,0)")).alias("digest"))
 
 
 def filing_report(blocks: DataFrame, doc: str = "doc") -> DataFrame:
-    """Blocks, tables, continuations and kinds of each filing and, under a null filing, of the corpus."""
-    kind = lambda k: F.count_if(F.col("content_type") == k)
+    """Blocks, tables by kind, titles, headers, continuations, regions and quality of each filing and, under a null filing, of the corpus."""
+    count = lambda condition, name: F.count_if(condition).alias(name)
+    type_is, kind_is = (lambda x: F.col("content_type") == x), (lambda x: F.col("table_kind") == x)
+    has = lambda name: F.array_contains("inherited_fields", name)
     return blocks.rollup(doc).agg(
-        F.count(F.lit(1)).alias("blocks"), kind("heading").alias("headings"), kind("paragraph").alias("paragraphs"), kind("list_item").alias("list_items"),
-        F.count("table_kind").alias("table_blocks"), F.count_distinct("logical_table_id").alias("logical_tables"), F.count("continued_from_block_id").alias("continuations"),
-        F.count_if((F.col("table_kind") == "financial_data") & F.col("title").isNull()).alias("untitled_financial"),
+        F.count(F.lit(1)).alias("blocks"), count(type_is("heading"), "headings"), count(type_is("paragraph"), "paragraphs"), count(type_is("list_item"), "list_items"),
+        F.count("table_kind").alias("table_blocks"), F.count_distinct("html_table_id", "html_table_xpath").alias("source_tables"), F.count_distinct("logical_table_id").alias("logical_tables"), F.count("continued_from_block_id").alias("continuations"),
+        count(kind_is("financial_data") & F.col("title").isNull(), "untitled_financial"), count(type_is("data_table"), "data_tables"), count(type_is("text_table"), "text_tables"),
+        count(kind_is("financial_data"), "financial"), count(kind_is("structured_text"), "structured"), count(kind_is("exhibit_list"), "exhibit_lists"), count(kind_is("layout"), "layouts"),
+        count(has("title"), "inherited_titles"), count(has("units"), "inherited_units"), count(F.col("header_mode") == "explicit", "explicit_headers"), count(F.col("header_mode") == "headerless", "headerless"),
+        F.count_distinct("document_region").alias("regions"), F.count_distinct("section").alias("sections"), count(F.size("table_faults") > 0, "faulty"), F.coalesce(F.sum("source_cells"), F.lit(0)).alias("source_cells"),
+        F.max("logical_empty_density").alias("max_logical_empty"),
     )
 
 

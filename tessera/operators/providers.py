@@ -8,10 +8,30 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# The public sentence encoders that can be named, with their revisions and prefixes.
+MODELS = {
+    "minilm": {"repository": "sentence-transformers/all-MiniLM-L6-v2", "revision": "1110a243fdf4706b3f48f1d95db1a4f5529b4d41", "query_prefix": "", "document_prefix": ""},
+    "mpnet": {"repository": "sentence-transformers/all-mpnet-base-v2", "revision": "e8c3b32edf5434bc2275fc9bab85f82640a19130", "query_prefix": "", "document_prefix": ""},
+    "bgebase": {"repository": "BAAI/bge-base-en-v1.5", "revision": "a5beb1e3e68b9ab74eb54cfd186867f64f240e1a", "query_prefix": "Represent this sentence for searching relevant passages: ", "document_prefix": ""},
+    "nomic": {"repository": "nomic-ai/nomic-embed-text-v1.5", "revision": "e9b6763023c676ca8431644204f50c2b100d9aab", "query_prefix": "search_query: ", "document_prefix": "search_document: "},
+}
+
+
+def model(name: str) -> dict[str, str]:
+    if name not in MODELS:
+        raise ValueError(f"unknown model {name}; known: {', '.join(sorted(MODELS))}")
+    return MODELS[name]
+
+
+def prepared(text: Column, name: str, kind: str) -> Column:
+    """What is given to the model: its prefix for a `query` or `document`, and the text."""
+    return F.concat(F.lit(model(name)[f"{kind}_prefix"]), F.coalesce(text, F.lit("")))
+
+
 class Encoder(Protocol):
     """Texts to vectors; made once a worker by `load`."""
 

@@ -33,21 +33,32 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._bytes, self.folder = jvm.java.lang.String, folder
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(folder).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        self._over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        self._copy, self._conf, self.folder = jvm.org.apache.hadoop.fs.FileUtil.copy, conf, folder
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.folder}/{name}"))
 
-    def write(self, name: str, text: str) -> None:
-        """Written under another name and renamed, so a reader sees all of it or nothing."""
-        part, path = self._path(f"{self.folder}/.{name}.part"), self._path(f"{self.folder}/{name}")
+    def write(self, name: str, text: str, overwrite: bool = True) -> None:
+        """Written under another name and renamed over the old file in one step: a reader sees the old or the new one, whole."""
+        if not overwrite and self.exists(name):
+            raise FileExistsError(f"{self.folder}/{name}")
+        part = self._path(f"{self.folder}/.{name}.part")
         out = self._fs.create(part, True)
         out.write(bytearray(text.encode()))
+        out.hsync()
         out.close()
-        self._fs.delete(path, False)
-        if not self._fs.rename(part, path):
-            raise OSError(f"cannot publish {path}")
+        self._context.rename(part, self._path(f"{self.folder}/{name}"), self._over)
+
+    def copy(self, source: str, name: str) -> None:
+        """A file copied into the folder, seen only when it is whole."""
+        part = self._path(f"{self.folder}/.{name}.part")
+        self._copy(self._path(source).getFileSystem(self._conf), self._path(source), self._fs, part, False, True, self._conf)
+        self._context.rename(part, self._path(f"{self.folder}/{name}"), self._over)
 
     def read(self, name: str) -> str:
         stream = self._fs.open(self._path(f"{self.folder}/{name}"))
@@ -73,16 +84,36 @@ def promote(spark: SparkSession, folder: str, tables: dict[str, DataFrame], rele
     store = Store(spark, folder)
     version = f"v{store.next_version()}"
     store.write(RELEASE_MARKER, release_id)
-    rows = {}
+    if store.exists("current.json"):  # what readers are pointed to now, to go back to
+        store.copy(f"{folder}/current.json", "previous.json")
+    rows, digests = {}, {}
     for name, df in tables.items():
         path = f"{folder}/{version}/{name}.parquet"
         df.write.mode("errorifexists").parquet(path)
-        rows[name] = spark.read.parquet(path).count()
-    store.write("current.json", json.dumps({"release_id": release_id, "version": version, "rows": rows}, sort_keys=True))
+        wanted, written = (content(x) for x in (df, spark.read.parquet(path)))
+        if wanted != written:
+            raise OSError(f"{path} does not hold what was to be written: {written} for {wanted}")
+        rows[name], digests[name] = written
+    store.write("current.json", json.dumps({"release_id": release_id, "version": version, "rows": rows, "digests": digests}, sort_keys=True))
     store.delete(RELEASE_MARKER)
     return f"{folder}/{version}"
 
 
+def content(df: DataFrame) -> tuple[int, str]:
+    """Rows, and a digest of them in any order: the sum of the rows' hashes, so that equal rows do not cancel."""
+    row = F.xxhash64(*[F.to_json(F.struct(c)) for c in sorted(df.columns)]).cast("decimal(38,0)")
+    found = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row), F.lit(0)).cast("string")).first()
+    return found[0], found[1]
+
+
+def roll_back(spark: SparkSession, folder: str) -> dict:
+    """Points readers to the release before the current one and clears the marker of a failed release."""
+    store = Store(spark, folder)
+    store.copy(f"{folder}/previous.json", "current.json")
+    store.delete(RELEASE_MARKER)
+    return json.loads(store.read("current.json"))
+
+
 def current(spark: SparkSession, folder: str) -> dict:
     """What the pointer names; refuses while a release is in progress."""
     store = Store(spark, folder)

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import compose, html
+from tessera.jobs import CONFIG
+from tessera.operators import audit, chunker, compose, html
+from tessera.sources.store import once, stored, version
 from tessera.sources.tables import table
 
 YEARS = (1996, 1995)
@@ -88,7 +90,9 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return html.html_blocks(pages(spark, sf), whole_body=False)
+    """The blocks of all filings, read once a Spark application and again if the tables change."""
+    made_from = tuple(version(spark, f"{sf}/{n}.parquet") for n in ("customer", "nation", "orders"))
+    return once(spark, ("filings", sf, made_from), lambda: stored(html.html_blocks(pages(spark, sf), whole_body=False), "filing-blocks"))
 
 
 joined = lambda name, by="|": F.array_join(name, by)
@@ -140,7 +144,28 @@ def nation_grid(spark: SparkSession, sf: str) -> DataFrame:
     return html.source_cells(nations.select(F.col("n_regionkey").cast("long").alias("page_id"), page.alias("html")))
 
 
-QUERIES = {f.__name__: f for f in (filing_blocks, filing_tables, filing_compositions, filing_cell_states, filing_facts, nation_grid)}
+def filing_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Narrative runs and composed tables as chunks of the production size."""
+    found = chunker.chunk_blocks(blocks(spark, sf), CONFIG)
+    return found.select("doc", "chunk_id", "chunk_index", "content_type", "section", "text", joined("block_ids").alias("block_ids"), "source_text_start", "source_text_end", "logical_table_id", "composition_mode", "title")
+
+
+def filing_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Block counts, table kinds, title sources, densities and continuations of every filing and of all."""
+    return audit.filing_report(blocks(spark, sf))
+
+
+def filing_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of the filings damaged by rule, and how often each constraint finds it."""
+    b = blocks(spark, sf)
+    at = lambda n, k: (F.col("doc") % 13 == n) & (F.col("block_index") == k)
+    damaged = b.filter(~at(1, 5)).withColumn("text", F.when(at(2, 3), " ").otherwise(F.col("text"))).withColumn("block_id", F.when(at(3, 7), F.lit("twice")).otherwise(F.col("block_id")))
+    damaged = damaged.withColumn("continued_from_block_id", F.when(at(4, 14), F.lit("nowhere")).otherwise(F.col("continued_from_block_id"))).withColumn("logical_rows", F.when(at(5, 13), F.transform("logical_rows", lambda r, i: F.when(i == 0, F.slice(r, 1, 1)).otherwise(r))).otherwise(F.col("logical_rows")))
+    damaged = damaged.withColumn("logical_row_roles", F.when(at(6, 13), F.slice("logical_row_roles", 1, 1)).otherwise(F.col("logical_row_roles")))
+    return audit.block_violations(damaged).groupBy("rule").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+QUERIES = {f.__name__: f for f in (filing_chunks, filing_audit, filing_violations, filing_blocks, filing_tables, filing_compositions, filing_cell_states, filing_facts, nation_grid)}
 
 # What the engine must read from the pages: templates, filled from the tables. {x} stands for a value of the customer.
 _A, _B = YEARS
@@ -263,6 +288,8 @@ def _filled(column: str) -> str:
     for y in YEARS:
         for name in (f"value{y}", f"largest{y}", *[f"status{s}{y}" for s, _ in STATUS], *[f"{c}{p[0]}{y}" for c in "nv" for p, _ in PRIORITY]):
             values[name] = f"CASE WHEN coalesce({name}, 0) = 0 THEN '—' ELSE format('{{:,}}', {name}::BIGINT) END"
+            if name[0] in "nv" and name[1] in "12":
+                values["kind" + name] = f"CASE WHEN coalesce({name}, 0) = 0 THEN 'missing_numeric' ELSE 'numeric_scalar' END"
     out = column
     for name, value in values.items():
         out = f"replace({out}, '{{{name}}}', {value})"
@@ -289,7 +316,46 @@ SELECT doc, block_index, 'present' AS state, (all_cells - missing)::BIGINT AS ce
 UNION ALL SELECT doc, block_index, 'missing_marker', missing::BIGINT FROM c WHERE missing > 0 UNION ALL SELECT doc, 24, 'present', 1 FROM f"""
 
 
+def _chunks() -> list[tuple]:
+    """Runs of narrative blocks of one path as one chunk each (they are short), tables by their logical id, in order."""
+    out: list[tuple] = []
+    tables = {k: c for c, first in ((c, int(c[3].split("|")[0][-6:])) for c in _COMPOSED) for k in [first]}
+    runs: list[tuple[str, str, list[int]]] = []
+    for k, (kind, _, _, _, section, _, path, _) in enumerate(_BLOCKS, 1):
+        if kind.endswith("table"):
+            if k in tables:
+                runs.append(("table", section, [int(x[-6:]) for x in tables[k][3].split("|")]))
+        elif runs and runs[-1][0] == path and runs[-1][2][-1] == k - 1:
+            runs[-1][2].append(k)
+        else:
+            runs.append((path, section, [k]))
+    for n, (path, section, ks) in enumerate(runs, 1):
+        head = _BLOCKS[ks[0] - 1][6].replace("/", "\n")
+        ids = _BAR(f"{{key}}-0-{k:06d}" for k in ks)
+        if path == "table":
+            c = tables[ks[0]]
+            out.append((f"{{key}}-CHUNK-{n:06d}", n, "table", section, f"{head}\n\n{c[-1]}", ids, None, None, c[0], c[1], c[4]))
+        else:
+            body = "\n\n".join(("- " if _BLOCKS[k - 1][0] == "list_item" else "") + _BLOCKS[k - 1][7] for k in ks)
+            out.append((f"{{key}}-CHUNK-{n:06d}", n, "narrative", section, f"{head}\n\n{body}", ids, "0", body, None, None, None))
+    return out
+
+
+def _chunks_sql() -> str:
+    """The end of a narrative chunk's span is the length of its body, filled as it is."""
+    names = "chunk_id chunk_index content_type section text block_ids source_text_start source_text_end logical_table_id composition_mode title".split()
+    return f"SELECT * REPLACE (source_text_start::INT AS source_text_start, length(source_text_end)::INT AS source_text_end) FROM ({_from_templates(_chunks(), names)})"
+
+
+_COUNTS = {"blocks": 24, "headings": 5, "paragraphs": 5, "list_items": 5, "table_blocks": 11, "source_tables": 10, "logical_tables": 6, "continuations": 3, "untitled_financial": 2, "data_tables": 5, "text_tables": 4, "financial": 5, "structured": 2, "exhibit_lists": 1, "layouts": 1, "inherited_titles": 1, "inherited_units": 1, "explicit_headers": 4, "headerless": 1, "regions": 4, "sections": 2, "faulty": 0, "source_cells": 78}
+
+
 ORACLE_SQL = {
+    "filing_chunks": _chunks_sql(),
+    "filing_audit": "SELECT c_custkey AS doc, " + ", ".join(f"{v}::BIGINT AS {k}" for k, v in _COUNTS.items()) + ", 0.0::DOUBLE AS max_logical_empty FROM customer UNION ALL SELECT NULL, " + ", ".join(("4::BIGINT" if k == "regions" else "2::BIGINT" if k == "sections" else f"{v} * count(*)") for k, v in _COUNTS.items()) + ", 0.0::DOUBLE FROM customer",
+    "filing_violations": """WITH c AS (SELECT c_custkey % 13 AS m FROM customer)
+SELECT * FROM (SELECT unnest(['index_gap', 'blank_text', 'duplicate_id', 'broken_continuation', 'not_rectangular', 'roles_mismatch']) AS rule,
+  unnest([count_if(m = 1) * 19, count_if(m = 2), CASE WHEN count_if(m = 3) > 1 THEN count_if(m = 3) ELSE 0 END, count_if(m = 4), count_if(m = 5), count_if(m = 6)]) AS blocks FROM c) WHERE blocks > 0""",
     "filing_blocks": _from_templates([(k, f"{{key}}-0-{k:06d}", *b) for k, b in enumerate(_BLOCKS, 1)], "block_index block_id content_type source_tag source_anchor heading_kind section document_region path text".split()),
     "filing_tables": _from_templates(_TABLES, _TABLE_NAMES),
     "filing_compositions": _from_templates(_COMPOSED, "logical_table_id mode fragments block_ids title headers units context rows row_roles row_sources text".split()),

@@ -173,6 +173,13 @@ DENSE = """
 v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm FROM embeddings),
 pairs AS (SELECT q.vec_id AS qid, q.label AS qlabel, c.vec_id, c.label, round(list_dot_product(q.e, c.e) / (q.norm * c.norm), 9) AS score FROM v q, v c WHERE q.vec_id % 100 = 0)"""
 
+def _scoped(name: str, condition: str, keys: str) -> str:
+    """A fused ranking of its own for each key, of the rows whose company the query names."""
+    best = lambda of: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {of} WHERE {condition}) WHERE rank <= 30)"
+    return f"""{name}_mixed AS (SELECT qid, doc_id, coalesce(o.source, l.source) AS source, round(coalesce(1 / (60 + o.rank), 0) + coalesce(1 / (60 + l.rank), 0), 12) AS rrf FROM {best("ov")} o FULL JOIN {best("lx")} l USING (qid, doc_id)),
+{name}_fused AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY rrf DESC, doc_id) AS rank FROM {name}_mixed)"""
+
+
 ORACLE_SQL = {
     "bm25_topk": f"WITH {BM25} SELECT qid, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10",
     "bm25_scoped_postfilter": f"""WITH {BM25} SELECT qid, doc_id, source, round(score, 6) AS score, rank
@@ -199,6 +206,30 @@ SELECT qid, doc_id, source, rank, representative, round(rrf, 9) AS rrf FROM (SEL
 m AS (SELECT request, doc_id, max(rrf) AS best_rrf, count(DISTINCT sub) AS n_subqueries, string_agg(DISTINCT sub, ',' ORDER BY sub) AS subqueries FROM h GROUP BY ALL),
 s AS (SELECT *, round(best_rrf + 0.01 * (n_subqueries - 1), 12) AS selection_score FROM m)
 SELECT request AS qid, doc_id, round(best_rrf, 9) AS best_rrf, n_subqueries, round(selection_score, 9) AS selection_score, row_number() OVER (PARTITION BY request ORDER BY selection_score DESC, doc_id) AS position, subqueries FROM s""",
+    "rerank_stub": f"""WITH {HYBRID},
+p AS (SELECT f.qid, f.doc_id, f.rank AS pool_rank, list_filter(list_distinct(string_split_regex(lower(coalesce(b.text, '')), '\\s+')), lambda w: w <> '') AS q, list_filter(string_split_regex(lower(coalesce(d.text, '')), '\\s+'), lambda w: w <> '') AS t
+  FROM fused f JOIN documents d ON d.doc_id = f.doc_id JOIN benchmark b ON b.item_id = f.qid WHERE rank <= 30),
+s AS (SELECT qid, doc_id, pool_rank, CASE WHEN len(q) = 0 THEN 0 ELSE round(len(list_intersect(q, t)) / len(q), 6) END AS score FROM p)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
+    "scope_aware_retrieval": f"""WITH {HYBRID},
+sc AS (SELECT item_id AS qid, replace(lower(coalesce(text, '')), 'ß', 'ss') AS t, coalesce(text, '') AS raw, list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[A-Za-z]{{2,5}}$')), lambda w: upper(w)) AS w FROM benchmark),
+nm AS (SELECT qid, t, raw, list_filter([{", ".join(f"CASE WHEN regexp_matches(t, '(^|[^\p{{L}}\p{{N}}_])({'|'.join(a)})([^\p{{L}}\p{{N}}_]|$)') THEN '{n}' END" for n, a in SOURCES.items())}], lambda x: x IS NOT NULL) AS companies FROM sc),
+asks AS (SELECT qid, companies, CASE WHEN regexp_matches(raw, '(?i){"|".join(ENUMERATION)}') THEN 'enumeration' WHEN ({" OR ".join(f"contains(t, '{c}')" for c in CUES)}) AND len(companies) > 0 THEN 'anchored_global' WHEN {" OR ".join(f"contains(t, '{c}')" for c in CUES)} THEN 'global'
+  WHEN len(companies) = 1 THEN 'single_company' WHEN len(companies) > 1 THEN 'explicit_subset' ELSE 'global' END AS scope FROM nm),
+rows_ AS (SELECT fused.qid, scope, companies, fused.doc_id, source, dense_rank, bm25_rank, rrf, fused.rank FROM fused JOIN documents USING (doc_id) JOIN asks USING (qid)),
+lx AS (SELECT s.qid, d.doc_id, source, scope, score FROM scored s JOIN documents d USING (doc_id) JOIN asks USING (qid) WHERE list_contains(companies, source)),
+ov AS (SELECT s.qid, d.doc_id, source, scope, score FROM share s JOIN documents d USING (doc_id) JOIN asks USING (qid) WHERE list_contains(companies, source)),
+{_scoped("n", "scope IN ('single_company', 'explicit_subset')", "qid")},
+{_scoped("a", "scope = 'anchored_global'", "qid, source")},
+enum AS (SELECT *, k = 1 AND rrf >= 0.6 * best AND dense_rank IS NOT NULL AND bm25_rank IS NOT NULL AS representative FROM (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY rank) AS k, max(rrf) OVER (PARTITION BY qid) AS best FROM rows_ WHERE scope = 'enumeration')),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY representative DESC, rank) AS place FROM enum) WHERE place <= 10),
+g AS (SELECT qid, doc_id, source, rank AS global_rank, rrf FROM rows_ WHERE scope = 'anchored_global'),
+x AS (SELECT coalesce(g.qid, a.qid) AS qid, coalesce(g.doc_id, a.doc_id) AS doc_id, coalesce(g.source, a.source) AS source, g.global_rank, a.rank AS anchor_rank FROM (SELECT * FROM g WHERE global_rank <= 10) g FULL JOIN (SELECT * FROM a_fused WHERE rank <= 3) a ON g.qid = a.qid AND g.doc_id = a.doc_id AND g.source = a.source),
+m AS (SELECT x.*, row_number() OVER (PARTITION BY x.qid ORDER BY x.global_rank NULLS LAST, x.source, x.anchor_rank, x.doc_id) AS position, coalesce(g.rrf, a.rrf) AS rrf FROM x LEFT JOIN g ON g.qid = x.qid AND g.doc_id = x.doc_id LEFT JOIN a_fused a ON a.qid = x.qid AND a.doc_id = x.doc_id)
+SELECT qid, scope, doc_id, source, rank::INT AS position, round(rrf, 9) AS rrf, 'global' AS origin FROM rows_ WHERE scope = 'global' AND rank <= 10
+UNION ALL SELECT qid, scope, doc_id, source, rank::INT, round(rrf, 9), 'scoped' FROM n_fused JOIN asks USING (qid) WHERE rank <= 10
+UNION ALL SELECT qid, scope, doc_id, source, (row_number() OVER (PARTITION BY qid ORDER BY rank))::INT, round(rrf, 9), CASE WHEN representative THEN 'representative' ELSE 'fill' END FROM chosen
+UNION ALL SELECT qid, 'anchored_global', doc_id, source, position::INT, round(rrf, 9), CASE WHEN global_rank IS NULL THEN 'anchored_company' WHEN anchor_rank IS NULL THEN 'global' ELSE 'global_and_anchored_company' END FROM m""",
     "scope_detect": r"""WITH c AS (SELECT conv_id, turn, text, replace(lower(coalesce(text, '')), 'ß', 'ss') AS t, list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda w: regexp_matches(w, '^[A-Za-z]{2,5}$')), lambda w: upper(w)) AS w FROM conversations),
 n AS (SELECT *, list_filter([
   CASE WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])(the|of the)([^\p{L}\p{N}_]|$)') OR list_contains(w, 'EN') THEN 'EN' END,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,17 @@ def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.length(normalize(F.col("text"))).alias("chars"), F.sha2(normalize(F.col("text")), 256).alias("sha256"))
 
 
+def text_normalize_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities, NFC, invisible characters and white space, as the block walk normalizes: Spark has no NFC, so in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(cells.normalize)
+
+    marked = F.concat(F.lit("&amp;&lt;  a\u0301\u00ad \u200b"), F.coalesce("text", F.lit("")), F.lit("\n \n\n\u00a0end \t"))
+    return table(spark, sf, "documents").select("doc_id", run(marked).alias("t")).select("doc_id", F.length("t").alias("chars"), F.sha2("t", 256).alias("sha256"))
+
+
 def iso_date_parse(spark: SparkSession, sf: str) -> DataFrame:
     forms = ["yyyy-MM-dd", "MMMM d, yyyy", "MM/dd/yyyy", "yyyyMMdd", "d. MMM"]
     written = F.lit(None).cast("string")
@@ -114,7 +126,7 @@ def title_audit(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cell_typing, text_normalize, iso_date_parse, html_blocks, html_visible_text_stats, table_grid_pipes, markdown_valid, table_continuation, horizontal_compose,
+        cell_typing, text_normalize, text_normalize_full, iso_date_parse, html_blocks, html_visible_text_stats, table_grid_pipes, markdown_valid, table_continuation, horizontal_compose,
         distribution_audit, regression_diff, release_inventory, embedding_text, upsert_latest, company_rollup, title_audit,
     )
 }
@@ -136,7 +148,11 @@ _KIND = f"""CASE WHEN trim(token) = '' THEN 'empty' WHEN {_full("trim(token)", f
  WHEN {_full("body", cells.SCALAR)} AND body LIKE '%\\%' ESCAPE '\\' THEN 'percentage' WHEN {_full("body", cells.YEAR)} THEN 'year' WHEN {_full("body", cells.SCALAR)} THEN 'numeric_scalar'
  WHEN {_full("body", cells.RANGE)} AND contains(body, '%') THEN 'percentage_range' WHEN {_full("body", f"[$€£¥]?{cells.YEAR}-[$€£¥]?{cells.YEAR}")} THEN 'year_range' WHEN {_full("body", cells.RANGE)} THEN 'numeric_range' ELSE 'text' END"""
 
+_FULL = r"""trim(regexp_replace(regexp_replace(replace(replace(replace('&<  ' || nfc_normalize('a' || chr(769) || chr(173) || ' ' || chr(8203) || coalesce(text, '')) || chr(10) || ' ' || chr(10) || chr(10) || chr(160) || 'end ' || chr(9), chr(160), ' '), chr(173), ''), chr(8203), ''),
+ '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"""
+
 ORACLE_SQL = {
+    "text_normalize_full": f"SELECT doc_id, length({_FULL})::INT AS chars, sha256({_FULL}) AS sha256 FROM documents",
     "cell_typing": f"""WITH t AS (SELECT unnest(string_split_regex(coalesce(text, ''), '[ \\n\\t]+')) AS token FROM documents),
 c AS (SELECT token, count(*) AS n, regexp_replace(trim(token), '[−–—]', '-', 'g') AS plain FROM t GROUP BY token),
 s AS (SELECT *, regexp_extract(plain, '^(.+?)[ ]*{cells.SUFFIX}$', 1) AS cut FROM c),

@@ -40,11 +40,17 @@ def version(spark: SparkSession, path: str) -> str:
     return str(hash(tuple(sorted(summary))))
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{len(_MADE)}"
+    _MADE.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written as Parquet in the shared folder and read back; removed when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{len(_MADE)}"
-    _MADE.append((spark, path))
+    path = fresh(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

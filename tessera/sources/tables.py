@@ -19,13 +19,24 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def read_jsonl_errors(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The lines that do not parse, as (path, line_text); blank lines are none."""
+    """The lines that do not parse, as (path, line, line_text); blank lines are none. Lines count from 1 in their file.
+
+    Files are read whole to number their lines, so this is for files of questions or settings, not for corpora.
+    """
     wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line_text"), parsed["_corrupt"].alias("bad"))
+    parsed = F.from_json("line_text", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "line_text"))
+    rows = files.select("path", (F.col("line") + 1).alias("line"), "line_text", parsed["_corrupt"].alias("bad"))
     return rows.filter("bad IS NOT NULL AND trim(line_text) <> ''").drop("bad")
 
 
+def required_rows(df: DataFrame, what: str) -> DataFrame:
+    """The rows, if there are any."""
+    if df.isEmpty():
+        raise ValueError(f"{what} holds no rows")
+    return df
+
+
 def newest_filings(files: DataFrame, path: str = "path") -> DataFrame:
     """(ticker, filing_year, path): the newest file a ticker, from paths .../TICKER/YYYY-10-K.*; other names are ignored."""
     found = files.select(

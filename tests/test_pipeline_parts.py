@@ -140,7 +140,10 @@ def test_release_and_guard(spark, tmp_path):
         release.promote(spark, folder, {"t": df}, "r1", ["1 artifacts are missing"])
     first = release.promote(spark, folder, {"t": df}, "r1", [])
     second = release.promote(spark, folder, {"t": df.limit(2)}, "r2", [])
-    assert first.endswith("v1") and second.endswith("v2") and release.current(spark, folder) == {"release_id": "r2", "rows": {"t": 2}, "version": "v2"}
+    now = release.current(spark, folder)
+    assert first.endswith("v1") and second.endswith("v2") and (now["release_id"], now["rows"], now["version"]) == ("r2", {"t": 2}, "v2")
+    assert now["digests"]["t"] == release.content(df.limit(2))[1] != release.content(df.limit(2).unionAll(df.limit(2)))[1]
+    assert release.roll_back(spark, folder)["version"] == "v1" == release.current(spark, folder)["version"]
     assert sources.release_available(spark, folder) == folder
     release.Store(spark, folder).write(sources.RELEASE_MARKER, "r3")
     with pytest.raises(RuntimeError):
