@@ -213,7 +213,7 @@ s AS (SELECT qid, doc_id, pool_rank, CASE WHEN len(q) = 0 THEN 0 ELSE round(len(
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
     "scope_aware_retrieval": f"""WITH {HYBRID},
 sc AS (SELECT item_id AS qid, replace(lower(coalesce(text, '')), 'ß', 'ss') AS t, coalesce(text, '') AS raw, list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[A-Za-z]{{2,5}}$')), lambda w: upper(w)) AS w FROM benchmark),
-nm AS (SELECT qid, t, raw, list_filter([{", ".join(f"CASE WHEN regexp_matches(t, '(^|[^\p{{L}}\p{{N}}_])({'|'.join(a)})([^\p{{L}}\p{{N}}_]|$)') THEN '{n}' END" for n, a in SOURCES.items())}], lambda x: x IS NOT NULL) AS companies FROM sc),
+nm AS (SELECT qid, t, raw, list_filter([{", ".join(f"CASE WHEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(a)})([^\\p{{L}}\\p{{N}}_]|$)') THEN '{n}' END" for n, a in SOURCES.items())}], lambda x: x IS NOT NULL) AS companies FROM sc),
 asks AS (SELECT qid, companies, CASE WHEN regexp_matches(raw, '(?i){"|".join(ENUMERATION)}') THEN 'enumeration' WHEN ({" OR ".join(f"contains(t, '{c}')" for c in CUES)}) AND len(companies) > 0 THEN 'anchored_global' WHEN {" OR ".join(f"contains(t, '{c}')" for c in CUES)} THEN 'global'
   WHEN len(companies) = 1 THEN 'single_company' WHEN len(companies) > 1 THEN 'explicit_subset' ELSE 'global' END AS scope FROM nm),
 rows_ AS (SELECT fused.qid, scope, companies, fused.doc_id, source, dense_rank, bm25_rank, rrf, fused.rank FROM fused JOIN documents USING (doc_id) JOIN asks USING (qid)),
