@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, bm25, chunker, dense, fusion, html, metrics, providers, release, scope
+from tessera.operators import audit, bm25, chunker, dense, fusion, html, metrics, providers, release, reports, scope
 
 # The production chunking.
 CONFIG = {
@@ -33,7 +33,7 @@ def chunks(spark: SparkSession, blocks_path: str, out: str, config: dict | None
     config = chunker.validate_config(config or CONFIG)
     source = spark.read.parquet(blocks_path)
     made = save(chunker.chunk_blocks(source, config), out, overwrite)
-    refuse(audit.chunk_violations(made, source, config["chunk_size"]))
+    refuse(reports.chunk_constraints(made, source, config))
     return made
 
 

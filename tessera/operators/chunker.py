@@ -61,7 +61,7 @@ def fixed_windows(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
 
 
 def chunk_blocks(blocks: DataFrame, config: dict, doc: str = "doc") -> DataFrame:
-    """chunk_id, chunk_index, content_type, section, text, block_ids, source_text_start and _end, config hash.
+    """chunk_id, chunk_index, content_type, source_group, section, text, block_ids, source_text_start and _end, config hash.
 
     `blocks` has doc, block_id, block_index, content_type, text, section, effective_section_path (array) and, for tables, logical_table_id.
     """
@@ -109,4 +109,4 @@ def chunk_blocks(blocks: DataFrame, config: dict, doc: str = "doc") -> DataFrame
     found = found.withColumn("text", F.when(F.col("content_type") == "table", F.concat_ws("\n\n", "text", F.coalesce("_text", "_own"))).otherwise(F.col("text"))).withColumnRenamed("mode", "composition_mode").drop("_text", "_own")
     index = F.row_number().over(Window.partitionBy("doc").orderBy("island", "span"))
     numbered = found.withColumn("chunk_index", index).withColumn("chunk_id", F.format_string("%s-CHUNK-%06d", F.col("doc").cast("string"), "chunk_index"))
-    return numbered.withColumn("n_tokens", F.size(tokens(F.col("text")))).withColumn("chunking_config_sha256", F.lit(config_sha256(config))).drop("island", "span").withColumnRenamed("doc", doc)
+    return numbered.withColumn("n_tokens", F.size(tokens(F.col("text")))).withColumn("chunking_config_sha256", F.lit(config_sha256(config))).drop("span").withColumnRenamed("island", "source_group").withColumnRenamed("doc", doc)
