@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 KS = (1, 3, 5, 10, 15, 20, 30)
 
@@ -12,15 +16,56 @@ RUN = r"(?<=\s)(?=(\S+\s+\S+\s+\S+\s+\S+)\s)"
 """Each run of four whole words, white space between them as it is; runs overlap, as the match itself is empty."""
 
 
-def containing(docs: DataFrame, passages: DataFrame, id_col: str, qid: str = "qid", text: str = "text", passage: str = "passage", short_rows: int = 10_000) -> DataFrame:
-    """(qid, id) of every document that holds a passage verbatim.
+def containing(docs: DataFrame, passages: DataFrame, id_col: str, qid: str = "qid", text: str = "text", passage: str = "passage", most_chars: int = 4_000_000, short_rows: int = 10_000) -> DataFrame:
+    """(qid, id) of every document that holds a passage verbatim, each pair once; null texts and passages hold nothing, an empty passage is in every text.
+
+    The passages are counted first. Up to `most_chars` characters go to the workers as one automaton, which reads each text
+    once and shuffles nothing; beyond that passages and texts meet by runs of words.
+    """
+    asked = passages.filter(F.col(passage).isNotNull()).select(qid, passage).distinct()
+    held = asked.agg(F.coalesce(F.sum(F.length(passage) + 1), F.lit(0)).alias("n")).first().n <= most_chars
+    return (_by_automaton(docs, asked, id_col, qid, text, passage) if held else _by_runs(docs, asked, id_col, qid, text, passage, short_rows)).distinct()
+
+
+def _by_automaton(docs: DataFrame, asked: DataFrame, id_col: str, qid: str, text: str, passage: str) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    owners: dict[str, list] = {}
+    for q, p in asked.collect():
+        owners.setdefault(p, []).append(q)
+    sent = asked.sparkSession.sparkContext.broadcast(owners)
+    schema = StructType([StructField(qid, asked.schema[qid].dataType), StructField(id_col, docs.schema[id_col].dataType)])
+    of_qid = to_arrow_type(asked.schema[qid].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for p in filter(None, sent.value):
+            automaton.add_word(p, p)
+        if len(automaton):
+            automaton.make_automaton()
+        anywhere = sent.value.get("", [])
+        for b in batches:
+            rows, found = [], []
+            for k, t in enumerate(b.column(1)):
+                if (t := t.as_py()) is None:
+                    continue
+                hits = [q for p in ({p for _, p in automaton.iter(t)} if len(automaton) else ()) for q in sent.value[p]] + anywhere
+                rows += [k] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([pa.array(found, of_qid), b.column(0).take(pa.array(rows, pa.int64()))], [qid, id_col])
+
+    return docs.select(id_col, text).mapInArrow(run, schema)
+
+
+def _by_runs(docs: DataFrame, asked: DataFrame, id_col: str, qid: str, text: str, passage: str, short_rows: int) -> DataFrame:
+    """Four words in a row inside a passage, with white space around them, stand as they are in any text that holds it.
 
-    Four words in a row inside a passage, with white space around them, stand as they are in any text that holds it.
     So passages meet texts by equal runs, each passage by that of its runs which the fewest texts have, and are then
     compared as they are. Passages without such a run (of few words) are sent to the texts, at most `short_rows` of them.
     """
     runs = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(RUN), F.lit(1)))).alias("_run")
-    asked = passages.filter(F.col(passage).isNotNull()).select(qid, passage)
     keys = asked.select(qid, passage, runs(F.col(passage)))
     shared = docs.select(id_col, runs(F.col(text))).join(keys.select("_run").distinct(), "_run")  # the passages' runs are few next to the texts'
     counted = shared.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))

@@ -265,5 +265,10 @@ def test_containing_documents_equal_a_nested_loop(spark):
     texts = [(" ".join(rnd.choices(words, k=rnd.randrange(0, 60))) if i % 7 else None, i) for i in range(120)]
     passages = [(k, t[max(0, a) : a + rnd.randrange(1, 80)]) for k, (t, a) in enumerate((x, rnd.randrange(0, 40)) for x, _ in texts if x)] + [(900, None), (901, ""), (902, "w1"), (903, "a b c d e f g")]
     docs = spark.createDataFrame([(i, t) for t, i in texts], "doc_id long, text string")
-    got = {tuple(r) for r in metrics.containing(docs, spark.createDataFrame(passages, "qid long, passage string"), "doc_id").select("qid", "doc_id").collect()}
-    assert got == {(k, i) for k, p in passages for t, i in texts if p is not None and t is not None and p in t}
+    asked = spark.createDataFrame(passages + passages[:3], "qid long, passage string")
+    want = {(k, i) for k, p in passages for t, i in texts if p is not None and t is not None and p in t}
+    for most in (4_000_000, 0):  # as one automaton, and by runs of words
+        got = [tuple(r) for r in metrics.containing(docs.unionByName(docs.limit(9)), asked, "doc_id", most_chars=most).select("qid", "doc_id").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert metrics.containing(docs, asked.filter("false"), "doc_id", most_chars=most).count() == 0
+        assert metrics.containing(docs.filter("false"), asked, "doc_id", most_chars=most).count() == 0
