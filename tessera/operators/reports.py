@@ -6,6 +6,8 @@ logical table meets in a row. Blocks are `html_blocks` rows, chunks are `chunk_b
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from tessera.operators.audit import chunk_violations
 from tessera.operators.chunker import config_sha256
 from tessera.operators.compose import DASH, compose_tables, escape
 from tessera.operators.logical import violations
+from tessera.operators.tables import COMPANY_HEADER, CONTINUED, DANGLING, NOTES_HEADER, PAGE_LABEL
 
 MARKERS = ["$", "€", "£", "¥", "%"]
 NOT_BODY = ["section_label", "footnote"]
@@ -141,3 +144,82 @@ def chunk_constraints(chunks: DataFrame, blocks: DataFrame, config: dict, doc: s
         "fragment_sources": F.size("logical_row_source_indexes") == F.size("logical_rows"), "no_source_cells": F.col("source_cells") > 0,
     }
     return found.unionByName(again).unionByName(violations(blocks.filter("logical_table_id IS NOT NULL"), "block_id", fragment_rules).withColumnRenamed("block_id", "chunk_id"))
+
+
+# fixed values: where a title comes from, as reviewers count it; kinds whose empty cells count; the longest title
+REVIEWED = {"none": "missing", "html_caption": "explicit", "internal_title_row": "internal", "prose_caption": "nearby", "heading": "nearby", "inherited": "inherited"}
+DENSITY_KINDS = ["financial_data", "structured_text"]
+LONGEST_TITLE, MOST_DENSE, DENSE_SHARE = 500, 0.5, 0.05
+AUDITED = ["table_kind", "table_class", "header_mode", "title_source", "title_review", "title_quality", "continuation_rejection"]
+
+
+def title_flags(title: Column) -> Column:
+    """What a title gets wrong, or `accepted`; `missing` alone if there is none."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    whole = lambda p: F.regexp_like(t, F.lit(f"{'(?i)' if p.flags & re.IGNORECASE else ''}^(?:{p.pattern})$"))
+    flags = F.array_compact(F.array(
+        F.when(whole(COMPANY_HEADER), "company_header"), F.when(whole(NOTES_HEADER), "generic_notes"), F.when(whole(PAGE_LABEL), "page_label"),
+        F.when(F.length(t) > LONGEST_TITLE, "overlong"), F.when(F.regexp_like(t, F.lit(f"(?i){DANGLING.pattern}")), "truncated_looking"),
+    ))
+    return F.when(t == "", F.array(F.lit("missing"))).when(F.size(flags) == 0, F.array(F.lit("accepted"))).otherwise(flags)
+
+
+def audited(blocks: DataFrame) -> DataFrame:
+    """The table blocks with what their audit asks of each: flags of the title, review bucket, rejections, complete headers, stray markers, Markdown."""
+    linked = F.col("continued_from_block_id").isNotNull()
+    buckets = F.create_map(*[F.lit(x) for pair in REVIEWED.items() for x in pair])
+    bucket = F.coalesce(F.element_at(buckets, F.col("title_source")), F.lit("other"))
+    values = F.filter(F.arrays_zip(F.col("logical_column_headers").alias("name"), F.col("logical_roles").alias("role")), lambda c: ~c["role"].eqNullSafe(F.lit("row_label")))
+    return blocks.filter("logical_width IS NOT NULL").withColumns({
+        "title_quality": title_flags(F.col("title")), "title_review": bucket, "table_class": F.col("content_type"),
+        "continuation_rejection": F.when(linked, F.array().cast("array<string>")).otherwise(F.filter(F.coalesce("continuation_reasons", F.array().cast("array<string>")), lambda r: r != "no_previous_table")),
+        "orphan": ~linked & F.regexp_like(F.coalesce("title", F.lit("")), F.lit(f"(?i){CONTINUED.pattern}")),
+        "headers_complete": F.when(F.col("header_mode") != "headerless", F.forall(values, lambda c: F.coalesce(c["name"], F.lit("")) != "")),
+        "counted": F.col("table_kind").isin(DENSITY_KINDS), "strays": F.size(F.filter(F.flatten("logical_rows"), lambda c: F.trim(c).isin(MARKERS))),
+        "markdown": valid_markdown(F.coalesce("text", F.lit(""))),
+    })
+
+
+def table_audit(blocks: DataFrame, doc: str = "doc") -> DataFrame:
+    """One row a filing (`corpus` false) and one of all (`corpus` true, filing null): tables and logical tables, counts by kind as
+    maps, continuations, distributions of widths and densities, headers, titles, and whether few enough tables are mostly empty.
+
+    Block ids behind a figure are rows of `table_findings`, not lists, so that the corpus row stays small. A share of nothing is 1.
+    """
+    rows = audited(blocks)
+    n = lambda condition, name: F.count_if(condition).alias(name)
+    ids = lambda condition: F.count_distinct(F.when(condition, F.col("logical_table_id")))
+    full = lambda of, name: F.round(F.coalesce(F.avg(of.cast("int")), F.lit(1.0)), 6).alias(name)
+    untitled, dense, rejected = F.col("title_source") == "none", F.col("counted") & (F.col("logical_empty_density") > MOST_DENSE), F.size("continuation_rejection") > 0
+    tables = rows.rollup(doc).agg(
+        F.grouping(doc).alias("_all"), F.count(F.lit(1)).alias("table_fragments"), F.count_distinct("logical_table_id").alias("logical_tables"),
+        ids(F.col("content_type").isin("data_table", "text_table", "unknown_table")).alias("included_logical_tables"), ids(F.col("content_type") == "navigation").alias("navigation_logical_tables"),
+        F.count("continued_from_block_id").alias("accepted_links"), n(rejected, "rejected_pairs"), (F.count("continued_from_block_id") + F.count_if(rejected)).alias("candidate_pairs"), n(F.col("orphan"), "orphan_cues"),
+        *[c for name in ("logical_width", "physical_empty_density", "logical_empty_density", "width_ratio") for c in distribution(name, name)],
+        n(F.col("counted"), "density_tables"), n(dense, "dense_tables"), F.round(F.coalesce(F.count_if(dense) / F.nullif(F.count_if("counted"), F.lit(0)), F.lit(0.0)), 6).alias("dense_rate"),
+        F.count("headers_complete").alias("headed_tables"), full(F.col("headers_complete"), "complete_header_rate"), F.sum("strays").alias("standalone_markers"), full(F.col("markdown"), "markdown_validity"),
+        n(untitled, "missing_titles"), n(untitled & (F.col("table_kind") == "financial_data"), "missing_financial_titles"), n(F.col("table_kind") == "unknown", "unknown_tables"),
+    )
+    plain = lambda c: F.array(F.coalesce(c, F.lit("none")))
+    values = [F.struct(F.lit(c).alias("name"), (F.col(c) if c in ("title_quality", "continuation_rejection") else plain(c)).alias("values")) for c in AUDITED]
+    long = rows.select(doc, F.explode(F.array(*values)).alias("_of")).select(doc, "_of.name", F.explode("_of.values").alias("value")).groupBy(doc, "name", "value").agg(F.count(F.lit(1)).alias("_n"))
+    long = long.withColumn("_all", F.lit(0)).unionByName(long.groupBy("name", "value").agg(F.sum("_n").alias("_n")).withColumns({doc: F.lit(None).cast(rows.schema[doc].dataType), "_all": F.lit(1)}))
+    maps = long.groupBy(doc, "_all").agg(*[F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("name") == c, F.struct("value", "_n"))))).alias(f"{c}_counts") for c in AUDITED])
+    counts = blocks.rollup(doc).agg(F.grouping(doc).alias("_all"), F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("logical_width").isNull()).alias("narrative_blocks"))
+    keyed = lambda df, t: df.withColumnsRenamed({doc: f"_d{t}", "_all": f"_a{t}"})
+    same = lambda t: F.col(doc).eqNullSafe(F.col(f"_d{t}")) & (F.col("_all") == F.col(f"_a{t}"))
+    out = counts.join(keyed(tables, 1), same(1), "left").join(keyed(maps, 2), same(2), "left").drop("_d1", "_a1", "_d2", "_a2")
+    return out.withColumn("density_gate", F.coalesce(F.col("dense_rate") <= DENSE_SHARE, F.lit(True))).withColumn("corpus", F.col("_all") == 1).drop("_all")
+
+
+def table_findings(blocks: DataFrame, doc: str = "doc") -> DataFrame:
+    """(filing, block_id, level, rule) for each failure and warning of a table."""
+    quality = lambda flag: F.array_contains("title_quality", flag)
+    financial = F.col("table_kind") == "financial_data"
+    rules = {
+        "failure": {"standalone_marker": F.col("strays") > 0, "invalid_markdown": ~F.col("markdown"), "invalid_financial_title": financial & (quality("company_header") | quality("generic_notes") | quality("page_label"))},
+        "warning": {"missing_title": F.col("title_source") == "none", "overlong_title": quality("overlong"), "unknown_kind": F.col("table_kind") == "unknown", "orphan_continued_cue": F.col("orphan"), "mostly_empty": F.col("counted") & (F.col("logical_empty_density") > MOST_DENSE)},
+    }
+    hits = F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(level).alias("level"), F.lit(name).alias("rule"))) for level, named in rules.items() for name, rule in named.items()]))
+    faults = F.transform(F.coalesce("table_faults", F.array().cast("array<string>")), lambda f: F.struct(F.lit("failure").alias("level"), f.alias("rule")))
+    return audited(blocks).select(doc, "block_id", F.explode(F.concat(hits, faults)).alias("_f")).select(doc, "block_id", "_f.level", "_f.rule")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.jobs import CONFIG
-from tessera.operators import chunker, reports
+from tessera.operators import chunker, migration, reports
 from tessera.plans import filings
 from tessera.plans.chunks import TOKENS
 from tessera.sources.store import once, stored, version
+from tessera.sources.tables import table
 
 CASES = 17
 
@@ -18,6 +21,10 @@ def _at(case: int, name: str, number: int) -> Column:
     return (F.col("doc") % CASES == case) & (F.col(name) == number)
 
 
+def _entries(name: str) -> Column:
+    return F.array_join(F.transform(F.map_entries(name), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|")
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The chunks of all filings, cut once a Spark application; one filing in 17 is damaged in each of eleven ways."""
     made_from = tuple(version(spark, f"{sf}/{n}.parquet") for n in ("customer", "nation", "orders"))
@@ -37,8 +44,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 def filing_chunk_report(spark: SparkSession, sf: str) -> DataFrame:
     """The statistics record of every filing's chunks."""
     found = reports.chunk_report(chunks(spark, sf), filings.blocks(spark, sf), CONFIG)
-    plain = lambda name: F.array_join(F.transform(F.map_entries(name), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|")
-    return found.withColumns({f"{n}_counts": plain(f"{n}_counts") for n in reports.COUNTED}).drop("chunking_config_sha256")
+    return found.withColumns({f"{n}_counts": _entries(f"{n}_counts") for n in reports.COUNTED}).drop("chunking_config_sha256")
 
 
 def filing_chunk_constraints(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +61,39 @@ def filing_chunk_constraints(spark: SparkSession, sf: str) -> DataFrame:
     return reports.chunk_constraints(chunks(spark, sf), damaged, CONFIG).groupBy("rule").agg(F.count(F.lit(1)).alias("found"))
 
 
-QUERIES = {f.__name__: f for f in (filing_chunk_report, filing_chunk_constraints)}
+def _damaged_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks of all filings; one filing in 17 has another title, density, kind, header, text, link or cell in each of ten ways."""
+    at = lambda case, number: _at(case, "block_index", number)
+    changed = lambda name, *cases: {name: functools.reduce(lambda w, c: w.when(at(c[0], c[1]), c[2]), cases[1:], F.when(at(cases[0][0], cases[0][1]), cases[0][2])).otherwise(F.col(name))}
+    return filings.blocks(spark, sf).withColumns(
+        changed("title", (1, 13, "Notes to financial statements"), (2, 13, "F-12"), (5, 19, "Regions (Continued)"), (7, 13, "x" * 501), (11, 22, "ACME HOLDINGS INC."), (12, 22, "List of"))
+        | changed("logical_empty_density", (3, 11, 0.75)) | changed("continued_from_block_id", (4, 14, F.lit(None).cast("string"))) | changed("content_type", (6, 24, "navigation")) | changed("table_kind", (6, 24, "unknown"))
+        | changed("logical_column_headers", (8, 16, F.array(F.lit("Line item"), F.lit(""), F.lit("Value")))) | changed("text", (9, 19, F.replace("text", F.lit("---"), F.lit("x")))) | changed("logical_rows", (10, 22, F.array(F.array(F.lit("$"), F.lit("x")))))
+    )
+
+
+def filing_table_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts, distributions, continuations and gates of the tables of every filing and of the corpus."""
+    found = reports.table_audit(_damaged_blocks(spark, sf))
+    return found.withColumns({f"{n}_counts": _entries(f"{n}_counts") for n in reports.AUDITED} | {n: F.round(n, 6) for n in found.columns if n.startswith(("physical_empty", "logical_empty", "width_ratio"))})
+
+
+def filing_table_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Failures and warnings of every table."""
+    return reports.table_findings(_damaged_blocks(spark, sf))
+
+
+def gold_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """A gold record a customer, naming chunks of the customer's filing; some are not approved, empty, doubled or name no chunk."""
+    key = F.col("c_custkey").cast("string")
+    case = lambda n: F.col("c_custkey") % CASES == n
+    named = lambda *numbers: F.array(*[F.concat(key, F.lit(f"-CHUNK-{n:06d}")) for n in numbers])
+    relevant = F.when(case(2), F.array().cast("array<string>")).when(case(3), named(1, 5, 1)).when(case(4), named(1, 99)).when(case(5), F.lit(None).cast("array<string>")).otherwise(named(1, 5))
+    records = table(spark, sf, "customer").select(F.col("c_custkey").alias("record_id"), F.when(case(1), "pending").otherwise("approved").alias("status"), relevant.alias("relevant"))
+    return migration.gold_violations(records, chunks(spark, sf), records=60)
+
+
+QUERIES = {f.__name__: f for f in (filing_chunk_report, filing_chunk_constraints, filing_table_audit, filing_table_findings, gold_faults)}
 
 # (case, rule, rows found in one filing)
 _FOUND = [
@@ -96,8 +134,54 @@ SELECT g.*, v.source_block_coverage, 1.0::DOUBLE AS source_anchor_coverage, 0.0:
   {CONFIG["chunk_size"]} AS chunk_size, {CONFIG["chunk_overlap"]} AS configured_overlap, {CONFIG["schema_version"]} AS chunk_schema_version, {CONFIG["table_schema_version"]} AS table_schema_version FROM g JOIN v USING (doc)"""
 
 
+_DISTRIBUTED = ("logical_width", "physical_empty_density", "logical_empty_density", "width_ratio")
+
+
+def _audit_sql() -> str:
+    """The tables as the templates state them, damaged alike; `g` has every row twice: under its filing and under all."""
+    source = filings.ORACLE_SQL
+    listed = {"title_quality": "flags", "continuation_rejection": "rejections"}
+    counts = ", ".join(f"(SELECT string_agg(v || '=' || n, '|' ORDER BY v) FROM (SELECT v, count(*) AS n FROM (SELECT {f'unnest({listed[c]})' if c in listed else f'coalesce({c}, {chr(39)}none{chr(39)})'} AS v FROM g AS x WHERE x.corpus = y.corpus AND x.filing IS NOT DISTINCT FROM y.filing) GROUP BY v)) AS {c}_counts" for c in reports.AUDITED)
+    real = lambda x, c: x if c == "logical_width" else f"round({x}, 6)::DOUBLE"
+    spread = ", ".join(f"{real(f'min({c})', c)} AS {c}_min, round(quantile_cont({c}, 0.5), 6)::DOUBLE AS {c}_median, round(quantile_disc({c}, 0.95), 6)::DOUBLE AS {c}_p95, {real(f'max({c})', c)} AS {c}_max" for c in _DISTRIBUTED)
+    return f"""WITH b AS ({source["filing_blocks"]}), k AS ({source["filing_compositions"]}), i AS (SELECT doc, logical_table_id, unnest(string_split(block_ids, '|')) AS block_id FROM k),
+t AS (SELECT t.* REPLACE (
+    CASE WHEN m = 1 AND t.block_index = 13 THEN 'Notes to financial statements' WHEN m = 2 AND t.block_index = 13 THEN 'F-12' WHEN m = 5 AND t.block_index = 19 THEN 'Regions (Continued)' WHEN m = 7 AND t.block_index = 13 THEN repeat('x', 501)
+      WHEN m = 11 AND t.block_index = 22 THEN 'ACME HOLDINGS INC.' WHEN m = 12 AND t.block_index = 22 THEN 'List of' ELSE title END AS title,
+    CASE WHEN m = 3 AND t.block_index = 11 THEN 0.75 ELSE logical_empty_density END AS logical_empty_density, CASE WHEN m = 4 AND t.block_index = 14 THEN NULL ELSE continued_from_block_id END AS continued_from_block_id,
+    CASE WHEN m = 6 AND t.block_index = 24 THEN 'unknown' ELSE table_kind END AS table_kind), CASE WHEN m = 6 AND t.block_index = 24 THEN 'navigation' ELSE content_type END AS table_class, b.block_id, i.logical_table_id, m
+  FROM (SELECT *, doc % {CASES} AS m FROM ({source["filing_tables"]})) t JOIN b ON b.doc = t.doc AND b.block_index = t.block_index LEFT JOIN i ON i.doc = b.doc AND i.block_id = b.block_id),
+r AS (SELECT *, CASE WHEN title IS NULL THEN ['missing'] WHEN m = 1 AND block_index = 13 THEN ['generic_notes'] WHEN m = 2 AND block_index = 13 THEN ['page_label'] WHEN length(title) > 500 THEN ['overlong'] WHEN title = 'ACME HOLDINGS INC.' THEN ['company_header'] WHEN title = 'List of' THEN ['truncated_looking'] ELSE ['accepted'] END AS flags,
+  CASE title_source WHEN 'none' THEN 'missing' WHEN 'internal_title_row' THEN 'internal' WHEN 'inherited' THEN 'inherited' ELSE 'nearby' END AS title_review,
+  CASE WHEN continued_from_block_id IS NULL AND continuation <> 'no_previous_table' THEN string_split(continuation, '|') ELSE [] END AS rejections,
+  continued_from_block_id IS NULL AND contains(coalesce(title, ''), '(Continued)') AS orphan, CASE WHEN header_mode <> 'headerless' THEN NOT (m = 8 AND block_index = 16) END AS headed,
+  table_kind IN ('financial_data', 'structured_text') AS counted, (m = 10 AND block_index = 22)::INT AS strays, NOT (m = 9 AND block_index = 19) AS markdown FROM t),
+g AS (SELECT *, doc AS filing, false AS corpus FROM r UNION ALL SELECT *, NULL, true FROM r),
+y AS (SELECT filing, corpus, count(*) AS table_fragments, count(DISTINCT logical_table_id) AS logical_tables, count(DISTINCT logical_table_id) FILTER (table_class <> 'navigation') AS included_logical_tables,
+  count(DISTINCT logical_table_id) FILTER (table_class = 'navigation') AS navigation_logical_tables, count(continued_from_block_id) AS accepted_links, count_if(len(rejections) > 0) AS rejected_pairs,
+  count(continued_from_block_id) + count_if(len(rejections) > 0) AS candidate_pairs, count_if(orphan) AS orphan_cues, {spread}, count_if(counted) AS density_tables, count_if(counted AND logical_empty_density > 0.5) AS dense_tables,
+  round(count_if(counted AND logical_empty_density > 0.5) / count_if(counted), 6) AS dense_rate, count(headed) AS headed_tables, round(avg(headed::INT), 6) AS complete_header_rate, sum(strays)::BIGINT AS standalone_markers, round(avg(markdown::INT), 6) AS markdown_validity,
+  count_if(title_source = 'none') AS missing_titles, count_if(title_source = 'none' AND table_kind = 'financial_data') AS missing_financial_titles, count_if(table_kind = 'unknown') AS unknown_tables,
+  count_if(counted AND logical_empty_density > 0.5) <= 0.05 * count_if(counted) AS density_gate FROM g GROUP BY ALL),
+c AS (SELECT doc AS filing, false AS corpus, count(*) AS blocks FROM b GROUP BY doc UNION ALL SELECT NULL, true, count(*) FROM b)
+SELECT y.* EXCLUDE (filing), y.filing AS doc, c.blocks, c.blocks - table_fragments AS narrative_blocks, {counts} FROM y JOIN c ON c.corpus = y.corpus AND c.filing IS NOT DISTINCT FROM y.filing"""
+
+
+def _findings_sql() -> str:
+    first = _audit_sql().split(",\ng AS (")[0]
+    rules = {
+        "failure": {"standalone_marker": "strays > 0", "invalid_markdown": "NOT markdown", "invalid_financial_title": "table_kind = 'financial_data' AND flags[1] IN ('generic_notes', 'page_label')"},
+        "warning": {"missing_title": "title_source = 'none'", "overlong_title": "flags[1] = 'overlong'", "unknown_kind": "table_kind = 'unknown'", "orphan_continued_cue": "orphan", "mostly_empty": "counted AND logical_empty_density > 0.5"},
+    }
+    return first + " " + " UNION ALL ".join(f"SELECT doc, block_id, '{level}' AS level, '{name}' AS rule FROM r WHERE {rule}" for level, named in rules.items() for name, rule in named.items())
+
+
 ORACLE_SQL = {
+    "gold_faults": f"""SELECT c_custkey AS record_id, unnest(CASE c_custkey % {CASES} WHEN 1 THEN ['not_approved'] WHEN 2 THEN ['no_gold'] WHEN 3 THEN ['repeated_gold'] WHEN 4 THEN ['unknown_chunk'] WHEN 5 THEN ['no_gold'] ELSE [] END) AS rule FROM customer
+UNION ALL SELECT NULL, 'record_count' FROM customer HAVING count(*) <> 60 UNION ALL SELECT NULL, 'mixed_config' FROM customer HAVING count_if(c_custkey % {CASES} = 9) > 0""",
     "filing_chunk_report": _report_sql(),
+    "filing_table_audit": _audit_sql(),
+    "filing_table_findings": _findings_sql(),
     "filing_chunk_constraints": f"""SELECT rule, (sum(n) FILTER (m IS NOT NULL))::BIGINT AS found FROM (VALUES {", ".join(f"({m}, '{rule}', {n})" for m, rule, n in _FOUND)}) t(wanted, rule, n)
 JOIN (SELECT c_custkey % {CASES} AS m FROM customer) ON m = wanted GROUP BY rule""",
 }
