@@ -184,7 +184,8 @@ def table_audit(blocks: DataFrame, doc: str = "doc") -> DataFrame:
     """One row a filing (`corpus` false) and one of all (`corpus` true, filing null): tables and logical tables, counts by kind as
     maps, continuations, distributions of widths and densities, headers, titles, and whether few enough tables are mostly empty.
 
-    Block ids behind a figure are rows of `table_findings`, not lists, so that the corpus row stays small. A share of nothing is 1.
+    Block ids behind a figure are rows of `table_findings`, not lists, so that the corpus row stays small. A share of nothing is 1;
+    no blocks, no rows.
     """
     rows = audited(blocks)
     n = lambda condition, name: F.count_if(condition).alias(name)
