@@ -158,3 +158,11 @@ def test_html_blocks_in_spark(spark):
     got = H.html_blocks(pages).collect()
     assert [(r.doc, r.content_type) for r in got if r.doc < 4] == [(1, "heading"), (1, "paragraph"), (3, "data_table")]
     assert any(r.doc == 4 and r.text == "deep" for r in got) and next(r for r in got if r.doc == 3).logical_rows[0] == ["Revenue", "$1,200", "$900"]
+
+
+@pytest.mark.parametrize("first, other, role, unit", [("1950", "7", "value", "number"), ("7", "2024", "value", "number"), ("1950", "1960", "years", "years"), ("2024", "3 years", "years", "years"), ("1950", "—", "years", "years")])
+def test_numbers_that_read_as_years(first, other, role, unit):
+    f = T.fragment_of(T.grid(table(rows(["<th>Region</th>", "<th>Customers</th>"], ["North", first], ["South", other]))))
+    assert (f.roles[1], f.units[1]) == (role, unit)
+    now = T.fragment_of(T.grid(table(rows(["<th>Region</th>", "<th>Suppliers</th>"], ["North (continued)", "11"], ["West", "12"]))))
+    assert T.continues(now, f, True, 0)[0] == (role == "value")
