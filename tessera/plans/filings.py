@@ -84,9 +84,9 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
         "<p><b>Exhibits</b></p>", _table(_row("<th>Exhibit No.</th>", "<th>Description</th>"), _row(_text("10.", F.col("c_nationkey").cast("string")), _text("Form of agreement with ", F.col("n_name"))), _row("21.1", _text("List of orders of ", F.col("c_name")))),
         "<p><b>SIGNATURES</b></p>", _table(_row(_text("/s/ ", F.col("c_name"))), _row("Principal Executive Officer")), "</body></html>",
     )
-    rows = facts(spark, sf).select(F.col("c_custkey").alias("page_id"), page.alias("html"))
-    # pages cost far more to read than to make, so they are dealt evenly, whatever the joins left
-    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    # pages cost far more to read than to make, so their facts are dealt evenly, whatever the joins left, and each is made where it is read
+    dealt = facts(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return dealt.select(F.col("c_custkey").alias("page_id"), page.alias("html"))
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:

@@ -166,3 +166,39 @@ def test_numbers_that_read_as_years(first, other, role, unit):
     assert (f.roles[1], f.units[1]) == (role, unit)
     now = T.fragment_of(T.grid(table(rows(["<th>Region</th>", "<th>Suppliers</th>"], ["North (continued)", "11"], ["West", "12"]))))
     assert T.continues(now, f, True, 0)[0] == (role == "value")
+
+
+def _page(*cells):
+    lines = rows(["<th>Region</th>", "<th>Orders</th>", "<th>Value</th>"], *([f"R{k} of {c}", c, "$" + c] for k, c in enumerate(cells)))
+    return f'<html><body><p><b>Item 1. Business</b></p><p>The following table shows {cells[0]} orders:</p><table>{lines}</table><table>{lines}</table></body></html>'
+
+
+CELLS = [("1,234", "56,789"), ("9,876", "10,000"), ("9,876", "9,876"), ("12345", "67890"), ("54321", "54321"), ("1996", "1,996"), ("1<i>2345</i>", "12,345"), ("12,3<b>45</b>", "12,345"), ("&#49;2345", "12345"), ("12345.5", "12345,"), ("1,234%", "(1)"), ("—", "1,234"), ("&amp;#12345;", "12345"), ("\x0012345", "12345")]
+
+
+def test_known_forms_change_nothing():
+    for cells in CELLS * 2:
+        known = H.extract_blocks(_page(*cells), "d", 0)
+        kept = dict(T.FORMS)
+        T.FORMS.clear()
+        fresh = H.extract_blocks(_page(*cells), "d", 0)
+        T.FORMS.update(kept)
+        assert [{k: v for k, v in b.items() if k != "fragment"} for b in known] == [{k: v for k, v in b.items() if k != "fragment"} for b in fresh]
+
+
+def test_tables_of_one_form_are_read_once(monkeypatch):
+    T.FORMS.clear()
+    read, first = [], T.fragment_of
+    monkeypatch.setattr(T, "fragment_of", lambda *a: read.append(a) or first(*a))
+    pages = [H.extract_blocks(_page(f"{k},234", f"{k}6,789"), "d", 0) for k in range(1, 9)]
+    assert len(read) <= 2 and pages[7][2]["logical_rows"] == [["R0 of 8,234", "8,234", "$8,234"], ["R1 of 86,789", "86,789", "$86,789"]]
+    assert pages[3][2]["title"] == "The following table shows 4,234 orders"
+
+
+@pytest.mark.parametrize("text", ["<p>a<br>b", "<P CLASS='x'>a</P>", "a < b", "<script>if (a < b) {'</p>'}</script >x", "<style>p</style>q", "<script>x", "<p hidden>h</p>x", "<ix:nonNumeric name='a:b'>v</ix:nonNumeric>", "a &amp; b &lt", "<!-- c --><td>x", "<a href=\"#x\" b>y</a><br/>z</q>", "</p>x<", "<li>a<li>b"])
+def test_plain_and_other_markup_make_one_tree(text):
+    slow = dom._Builder()
+    slow.feed(f"<html><body>{text}")
+    slow.close()
+    fast = dom.parse(f"<html><body>{text}")
+    assert dom.markup(fast) == dom.markup(slow.root) and fast.raw_text() == slow.root.raw_text()
