@@ -202,3 +202,34 @@ def test_plain_and_other_markup_make_one_tree(text):
     slow.close()
     fast = dom.parse(f"<html><body>{text}")
     assert dom.markup(fast) == dom.markup(slow.root) and fast.raw_text() == slow.root.raw_text()
+
+
+INSIDE = [
+    "<tr><td>Cash</td><td>12,345</td></tr>", "<tr><td>i</td><td>12</td></tr>", '<tr><td style="display:none">x</td><td>12,345</td></tr>', '<tr><td style="text-align:center">12</td><td style="position:absolute;bottom:0">3</td></tr>', "<tr><td>a<dd>b<td>12,345",
+    "<tr><td>&#12345;</td><td>12,345</td></tr>", "<tr><td>12345&comma;678</td><td>a &amp; b</td></tr>", "<tr><td>&frac12345;</td><td>1</td></tr>", '<tr><td rowspan="12345">a</td><td>12,345</td></tr>', "<tr><td>12345</TABLE><p>12,345</p>", "<tr><td>\x02</td><td>12,345</td></tr>",
+    "<tr><td>1<!-- 2 -->2345</td></tr>", "<tr><td><table><tr><td>12,345</td></tr></table></td></tr>", "<tr><td><b>12,345</b></td><td>" + "long text " * 250 + "</td></tr>", '<tr><td><a href="#toc">Table of Contents</a></td></tr>', "<tr><td>12345<td>x > y</td></tr><tr>", "<tr><td>12,345</td></tr>",
+]
+
+
+@pytest.mark.parametrize("around", ["{}", "<div>{}</div>", '<div style="text-align:center"><div style="position:absolute;bottom:0">{}</div></div>', "<li>{}</li>", "<h1>{}</h1>", "<dl><dd>{}</dd></dl>", '<p id="here"></p>{}'])
+def test_folded_tables_change_nothing(monkeypatch, around):
+    first = dom.parse
+    blocks = lambda page: [{k: v for k, v in b.items() if k != "fragment"} for b in H.extract_blocks(page, "d", 0, whole_body=True)]
+    for inside in INSIDE:
+        for digits in ("12,345", "98,765", "67890"):
+            filled = inside.replace("12,345", digits)
+            page = f"<html><body><p>Shown:</p>{around.format(f'<table>{filled}</table>')}<table><tr><td>{digits}</td><td>1</td></tr></table></body></html>"
+            folded = blocks(page)
+            T.FORMS.clear()
+            with monkeypatch.context() as m:
+                m.setattr(H, "parse", lambda text, fold=False: first(text))
+                assert blocks(page) == folded
+
+
+def test_a_known_table_is_not_parsed_again(monkeypatch):
+    pages = [f"<html><body><table><tr><th>Place</th><th>Value</th></tr><tr><td>North</td><td>{k},234</td></tr></table></body></html>" for k in (1, 2)]
+    one = H.extract_blocks(pages[0], "d", 0, whole_body=True)
+    made = []
+    monkeypatch.setattr(dom._Builder, "handle_starttag", lambda self, tag, attrs, first=dom._Builder.handle_starttag: made.append(tag) or first(self, tag, attrs))
+    two = H.extract_blocks(pages[1], "d", 0, whole_body=True)
+    assert made == ["html", "body", "table"] and two[0]["logical_rows"] == [["North", "2,234"]] and one[0]["logical_rows"] == [["North", "1,234"]]
