@@ -27,9 +27,11 @@ COUNTED = ["table_kind", "table_class", "header_mode", "title_source", "composit
 
 def valid_markdown(text: Column) -> Column:
     """Whether the text has pipe lines and each run of them is a table: a delimiter row second, all rows equally wide."""
-    bare = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.trim(x), r"\\.", "x"))
-    widths = F.transform(bare, lambda x: F.when(x.startswith("|") & x.endswith("|"), F.regexp_count(x, F.lit(r"\|"))).otherwise(0))
-    rules = F.transform(bare, lambda x: F.regexp_like(x, F.lit(r"^\|( *:?-{3,}:? *\|)+$")))
+    # regular expressions only where a plain test leaves the question open: escapes in texts with a backslash, rules on lines with dashes
+    bare = F.transform(F.split(F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"\\.", "x")).otherwise(text), "\n"), lambda x: F.trim(x))
+    pipes = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|")))
+    widths = F.transform(bare, lambda x: F.when(x.startswith("|") & x.endswith("|"), pipes(x)).otherwise(0))
+    rules = F.transform(bare, lambda x: F.when(F.contains(x, F.lit("---")), F.regexp_like(x, F.lit(r"^\|( *:?-{3,}:? *\|)+$"))).otherwise(False))
     none = lambda n: F.array(*[F.lit(0)] * n)
     # each line beside the two before it; past the last line all are empty
     seen = F.arrays_zip(widths.alias("w"), rules.alias("rule"), F.concat(none(1), widths).alias("before"), F.concat(none(2), widths).alias("first"))

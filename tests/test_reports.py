@@ -59,3 +59,11 @@ def test_overlap_in_tokens(spark):
     chunks = chunker.chunk_blocks(blocks, config)
     [row] = reports.chunk_report(chunks, blocks, config).collect()
     assert row.chunk_count > 2 and row.actual_overlap_median == 6
+
+
+def test_markdown_with_escapes_and_blanks(spark):
+    head = "| a | b |\n| --- | --- |\n"
+    texts = {head + "| \\| | c |": True, head + "| c \\|": True, head + "  | c | d |  ": True, head + "| c | d |\\ ": True, head + "| c | d | \\": True, head + "| \\\\| d |": True, head + "| \\| d |": False, head + "| \\\\ | d |": True, head + "| --- | --- | --- |": False, "| a |\n| -- |": False, "| a |\n--- |": False, "|\n|---|": False, "|": False}
+    rows = spark.createDataFrame(list(texts.items()), "text string, valid boolean").withColumn("found", reports.valid_markdown(F.col("text")))
+    assert {r.text: r.found for r in rows.collect()} == texts
+    assert "regexp_count" not in str(reports.valid_markdown(F.col("text")))  # no regular expression a line but for rules
